@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lensmill.llm import jaccard_join
+from lensmill.llm import jaccard_join, mixing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +49,43 @@ def jaccard_sql(source: str, n: int, num: int, den: int) -> str:
     reached AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reached r JOIN linked l ON l.x = r.y)"""
 
 
+#: A one-row CTE with the 256 entries of the crc32 table, worked out from its rule.
+CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS entry)"""
+
+
+def crc32_sql(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes, beside CRC_TABLE."""
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    step = "xor(a >> 8, entry[(xor(a, v) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, v: {step}), 4294967295::BIGINT)"
+
+
+def mixing_sql(source: str, seed: str = "mix") -> str:
+    """CTEs up to mixed, with doc_id, size, source_size, target and taken."""
+    return rf"""
+    sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS size,
+              md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS hash FROM {source}),
+    totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+    weighed AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM totals),
+    levelled AS (SELECT *, cap / w AS r, ((sum(source_size) OVER ())
+                 - coalesce(sum(cap) OVER (ORDER BY cap / w, cap ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                 / sum(w) OVER (ORDER BY cap / w, cap ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+    targets AS (SELECT source, source_size, coalesce(least(cap, w * (SELECT arg_min(level, (r, cap)) FROM levelled WHERE r >= level)), cap) AS target FROM levelled),
+    parted AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM targets),
+    ordered AS (SELECT s.doc_id, s.source, s.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
+                sum(s.size) OVER (PARTITION BY s.source ORDER BY s.hash, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+                FROM sized s JOIN parted p ON s.source IS NOT DISTINCT FROM p.source),
+    mixed AS (SELECT doc_id, source, size, source_size, target,
+              (size * (whole + CASE WHEN rest > 0 AND upto - size / 2 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM ordered)"""
+
+
+def shard_sql(shards: int) -> str:
+    """The shard of doc_id among shards of weight 1: the highest 52 bits of md5, then the lowest number."""
+    return f"(SELECT arg_max(i, (substr(md5('shard' || i || ':' || doc_id), 1, 13), -i)) FROM range({shards}) t(i))"
+
+
 @query(
     f"""WITH RECURSIVE {jaccard_sql("documents", 3, 90, 100)}
     SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.least AS component_id, coalesce(c.first, d.doc_id) AS class_id, coalesce(l.k, 0) AS n_links
@@ -57,3 +95,34 @@ def jaccard_sql(source: str, n: int, num: int, den: int) -> str:
 )
 def op1_ngram_jaccard_join(spark, sf):
     return jaccard_join.jaccard_join(table(spark, sf, "documents"), words=3, num=90, den=100)
+
+
+def quality_model(spark, sf):
+    """Learns labels.quality from the rows that are not held out."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    return quality.train(docs, labels.filter(~quality.held_out("doc_id", 5, 0)))
+
+
+@query()
+def op6_quality_classifier(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, quality_model(spark, sf))
+    return scored.select("doc_id", quality.held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query(f"WITH {mixing_sql('documents')} SELECT doc_id, size, source_size, target, taken FROM mixed")
+def op9_mix_sources(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    f"""WITH {CRC_TABLE}, placed AS (SELECT doc_id, (coalesce(octet_length(encode(text)), 0) + 1)::BIGINT AS size, coalesce({crc32_sql("text")}, 0) AS text_crc32,
+        {shard_sql(16)}::INTEGER AS shard, {shard_sql(17)}::INTEGER AS grown_shard FROM documents, crc)
+    SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+    row_number() OVER (PARTITION BY shard ORDER BY md5(doc_id::VARCHAR), doc_id, size, text_crc32) - 1 AS slot FROM placed"""
+)
+def op10_rendezvous_shards(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    placed = sharding.shard(docs, weights=[1.0] * 16)
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
