@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lensmill.llm import jaccard_join, mixing, quality, sharding
+from lensmill.llm import decontaminate, jaccard_join, mixing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,6 +97,12 @@ def op1_ngram_jaccard_join(spark, sf):
     return jaccard_join.jaccard_join(table(spark, sf, "documents"), words=3, num=90, den=100)
 
 
+@query()
+def op4_benchmark_leaks(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, table(spark, sf, "benchmark"), words=5, least=0.8)
+
+
 def quality_model(spark, sf):
     """Learns labels.quality from the rows that are not held out."""
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
