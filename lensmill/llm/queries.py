@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lensmill.llm import decontaminate, jaccard_join, mixing, quality, sharding
+from lensmill.llm import decontaminate, jaccard_join, mixing, quality, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,25 @@ def op10_rendezvous_shards(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     placed = sharding.shard(docs, weights=[1.0] * 16)
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+SITES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def site_sql() -> str:
+    """The longest site rule that fits host and path, as a struct of its length, rule and action."""
+    rows = ", ".join(f"({len(r)}, '{r}', '{a}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for a, r in SITES)
+    return f"""(SELECT arg_max({{'rule': r, 'action': a}}, n) FROM (VALUES {rows}) t(n, r, a, h, p)
+        WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))"""
+
+
+@query(
+    rf"""WITH parted AS (SELECT page_id, coalesce(translate(CASE WHEN url LIKE '%://%' THEN regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1) END,
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(CASE WHEN url LIKE '%://%' THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) END, '') AS path FROM pages),
+    judged AS (SELECT *, {site_sql()} AS s, regexp_matches(host || path, '(^|[^A-Za-z0-9])({"|".join(p.strip("^") for _, p in url_filter.PATTERNS)})([^A-Za-z0-9]|$)') AS bad FROM parted)
+    SELECT page_id, host, path, s.rule AS rule, CASE WHEN s.rule IS NOT NULL THEN s.action WHEN bad THEN 'block' ELSE 'allow' END AS verdict FROM judged"""
+)
+def op8_url_rules(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.rule_table(spark, SITES)).select("page_id", "host", "path", "rule", "verdict")
