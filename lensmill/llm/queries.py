@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lensmill.llm import decontaminate, jaccard_join, mixing, quality, sharding, url_filter
+from lensmill.llm import decontaminate, jaccard_join, language, mixing, quality, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,6 +97,14 @@ def op1_ngram_jaccard_join(spark, sf):
     return jaccard_join.jaccard_join(table(spark, sf, "documents"), words=3, num=90, den=100)
 
 
+@query()
+def op2_language_mixture(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = language.train(docs.filter(~language.held_out("doc_id")))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 @query()
 def op4_benchmark_leaks(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
