@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lensmill.llm import chat, decontaminate, jaccard_join, language, mixing, quality, sharding, url_filter
+from lensmill.llm import chat, decontaminate, jaccard_join, language, mixing, quality, sharding, tiff, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,6 +130,21 @@ def op4_benchmark_leaks(spark, sf):
     return decontaminate.find_leaks(docs, table(spark, sf, "benchmark"), words=5, least=0.8)
 
 
+@query()
+def op5_tiff_payloads(spark, sf):
+    files = tiff.payload_files(table(spark, sf, "documents").select("doc_id", "text"))
+    return tiff.read_pages(files).select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(samples, -32, 32)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def quality_model(spark, sf):
     """Learns labels.quality from the rows that are not held out."""
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
