@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lensmill.llm import chat, decontaminate, jaccard_join, language, mixing, quality, sharding, tiff, url_filter
+from lensmill.llm import chat, decontaminate, html_text, jaccard_join, language, mixing, quality, sharding, tiff, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,6 +176,12 @@ def op10_rendezvous_shards(spark, sf):
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@query()
+def op7_main_text(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 SITES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
