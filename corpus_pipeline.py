@@ -1,13 +1,64 @@
-"""A training corpus from raw documents: the stages, and run() over them."""
+"""A training corpus from raw documents: the stages, and run() over them.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents; the
+last adds the columns of its shards. A stage works on all rows that the one before has kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lensmill.llm import common, decontaminate, jaccard_join, mixing, quality, queries, sharding
+
+SHARDS = 16
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the classifier scores at 0.3 or more, whether labelled or not."""
+    score = common.free_name(docs, "score")
+    scored = quality.score_quality(docs, queries.quality_model(spark, sf_dir), score_col=score)
+    return scored.filter(F.col(score) >= 0.3).drop(score)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group that five-word shingles link at 0.8: the one with the least id.
+
+    Documents without words link with nothing and stay. Of rows that share the kept id, all stay.
+    """
+    found = jaccard_join.jaccard_join(docs, words=5, num=80, den=100)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_"))
+    gone, _ = common.written(gone, "gone")
+    return docs.join(common.small(gone, gone.count()), F.col("doc_id") == F.col("gone_"), "left_anti")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item."""
+    return decontaminate.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes it; one that is not taken goes.
+
+    Documents without words have no size to mix by and go.
+    """
+    return mixing.repeated(mixing.mix(docs), docs.columns)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds shard, slot and the other columns of the shards."""
+    return sharding.shard(docs, weights=[1.0] * SHARDS)
 
-from lensmill.llm import common
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources", mixing_stage),
+    ("sharding", sharding_stage),
+]
 
+#: The classifier is learnt, which SQL cannot express; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
