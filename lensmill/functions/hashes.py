@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,8 +44,6 @@ def name_uuid(name: Column) -> Column:
 
 def fnv1a_priority(path: Column, seed: int = 0) -> Column:
     """64-bit FNV-1a of the path's UTF-16 code units, made non-negative: the order of a seeded sample."""
-    import pandas as pd
-
     basis, prime, mask = 0xCBF29CE484222325, 0x100000001B3, (1 << 64) - 1
 
     @F.pandas_udf("long")

@@ -15,7 +15,7 @@ def nocase(c: Column) -> Column:
 
 def like_any(text: str, *columns: Column) -> Column:
     """Substring search without ASCII case in any column; % and _ in the text stay wildcards."""
-    pattern = F.lit(f"%{nocase_text(text)}%")
+    pattern = f"%{nocase_text(text)}%"
     hit = F.lit(False)
     for c in columns:
         hit = hit | F.coalesce(nocase(c).like(pattern), F.lit(False))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,9 +61,6 @@ def to_csv(v: Column) -> Column:
 
 def encode_blob(v: Column) -> Column:
     """Little-endian 32-bit floats; null when an element is not finite."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def encode(vs: pd.Series) -> pd.Series:
         def one(x):
@@ -75,9 +74,6 @@ def encode_blob(v: Column) -> Column:
 
 def decode_blob(b: Column) -> Column:
     """The vector of a blob; null when its size is no multiple of 4 or an element is not finite."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def decode(bs: pd.Series) -> pd.Series:
         def one(x):

@@ -7,6 +7,7 @@ joins the one with the least id. Order-dependent folds run group by group in a s
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -19,29 +20,28 @@ from lensmill.operators import vector as vector_ops
 MERGE, FULL_MERGE, MOST_PROTOTYPES, MOST_SAMPLES = 0.30, 0.38, 3, 10_000
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """df as a table in the checkpoint folder that all executors share; a temporary one where none is set."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    path = f"{folder.rstrip('/')}/lensmill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def connected(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, root) with the least node of each component; edges (a, b) in either order.
 
     Each round hands every node the least root among its neighbours and then that root's root, so
     labels travel in jumps. Rounds are written to the checkpoint folder to keep plans short.
     """
-    spark = nodes.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="lensmill-cc-")
-    own = f"{folder.rstrip('/')}/cc-{uuid.uuid4().hex}"
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both.write.parquet(f"{own}/edges")
-    both = spark.read.parquet(f"{own}/edges")
+    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = nodes.select(F.col("node"), F.col("node").alias("root"))
-    for i in range(most_rounds):
+    for _ in range(most_rounds):
         heard = both.join(roots, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m_"))
         low = roots.join(heard, "node", "left").select("node", F.col("root").alias("was_"), F.least("root", F.coalesce("m_", "root")).alias("root"))
         jump = low.select(F.col("node").alias("root"), F.col("root").alias("up_"))
-        low.join(jump, "root", "left").select("node", "was_", F.least("root", F.coalesce("up_", "root")).alias("root")).write.parquet(f"{own}/{i}")
-        table = spark.read.parquet(f"{own}/{i}")
+        table = saved(low.join(jump, "root", "left").select("node", "was_", F.least("root", F.coalesce("up_", "root")).alias("root")))
         roots = table.select("node", "root")
         if not table.filter("was_ <> root").limit(1).count():
             break
@@ -50,7 +50,7 @@ def connected(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> Data
 
 def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.4, min_points: int = 2) -> DataFrame:
     """(key, cluster, core): cluster is the least core's key, null for noise; a point is its own neighbour."""
-    pairs = vector_ops.near_pairs(df, key, vector, eps).select("a", "b")
+    pairs = saved(vector_ops.near_pairs(df, key, vector, eps).select("a", "b"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = df.select(F.col(key).alias("node")).join(both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_")), "node", "left")
     core = degree.filter(F.coalesce("n_", F.lit(0)) + 1 >= min_points).select("node")

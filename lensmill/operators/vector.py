@@ -20,6 +20,11 @@ def literal(v) -> Column:
     return F.array(*[F.lit(float(x)).cast("float") for x in v])
 
 
+def numbers(v) -> Column:
+    """A literal array of doubles."""
+    return F.lit([float(x) for x in v])
+
+
 def scored(df: DataFrame, vector: str, query: Column, score: str = "similarity") -> DataFrame:
     """Rows of the query's dimension with their cosine similarity; null vectors are passed over."""
     return df.filter(F.size(vector) == F.size(query)).withColumn(score, vectors.cosine(F.col(vector), query))
@@ -52,8 +57,9 @@ def nearest_prototype(df: DataFrame, vector: str, prototypes: DataFrame, prototy
     listed = [(r["e"]["p"], [float(x) for x in r["e"]["v"]]) for r in packed.collect()]
     if not listed:
         return df.withColumn("prototype", F.lit(None).cast(prototypes.schema[prototype].dataType)).withColumn("distance", F.lit(None).cast("double"))
-    entries = [F.struct(vectors.cosine_distance(F.col(vector), F.array(*[F.lit(x) for x in v])).alias("distance"), F.lit(p).alias("prototype")) for p, v in listed]
-    out = df.withColumn("n_", F.least(*entries) if len(entries) > 1 else entries[0])
+    table = F.array(*[F.struct(F.lit(p).alias("p"), numbers(v).alias("v")) for p, v in listed])  # folded to one literal
+    near = F.transform(table, lambda e: F.struct(vectors.cosine_distance(F.col(vector), e["v"]).alias("distance"), e["p"].alias("prototype")))
+    out = df.withColumn("n_", F.array_min(near))
     out = out.withColumn("prototype", F.col("n_.prototype")).withColumn("distance", F.col("n_.distance")).drop("n_")
     return out if most is None else out.withColumn("prototype", F.when(F.col("distance") <= most, F.col("prototype")))
 
@@ -72,8 +78,8 @@ def near_pairs(df: DataFrame, key: str, vector: str, most: float, pivots: int =
     chosen = [row["u_"] for row in unit.orderBy(F.xxhash64("k_"), "k_").limit(pivots).collect()]
     if not chosen:
         return df.select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(0.0).alias("distance")).limit(0)
-    far = lambda p: F.sqrt(F.greatest(2 - 2 * vectors.dot(F.col("u_"), F.array(*[F.lit(float(x)) for x in p])), F.lit(0.0)))
-    spread = unit.withColumn("d_", F.array(*[far(p) for p in chosen]))
+    table = F.array(*[numbers(p) for p in chosen])
+    spread = unit.withColumn("d_", F.transform(table, lambda p: F.sqrt(F.greatest(2 - 2 * vectors.dot(F.col("u_"), p), F.lit(0.0)))))
     nearest = F.array_position("d_", F.array_min("d_")).cast("int")
     left = spread.withColumn("p_", nearest).withColumn("ring_", F.floor(F.element_at("d_", F.col("p_")) / r))
     # As a partner, a row stands in its ring and the two beside it, for every pivot it can be near.

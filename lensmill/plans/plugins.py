@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,8 +122,6 @@ def store_features(existing: DataFrame, results: DataFrame, manifest: Manifest,
 
 def prepared(pixels: Column, size: int, mean: float, std: float, bgr: bool = False) -> Column:
     """Interleaved 8-bit RGB samples of a size x size image as normalised numbers, channels swapped if asked."""
-    import numpy as np
-
     @F.pandas_udf("array<float>")
     def prepare(rows: pd.Series) -> pd.Series:
         def one(raw):
