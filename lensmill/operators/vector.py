@@ -74,7 +74,7 @@ def near_pairs(df: DataFrame, key: str, vector: str, most: float, pivots: int =
     """
     r = (2.0 * most) ** 0.5 + 1e-9
     unit = df.filter(vectors.norm(F.col(vector)) > 0).select(F.col(key).alias("k_"), vectors.doubles(F.col(vector)).alias("u_"))
-    unit = unit.withColumn("l_", vectors.norm(F.col("u_"))).withColumn("u_", F.expr("transform(u_, x -> x / l_)")).drop("l_")
+    unit = unit.withColumn("l_", vectors.norm(F.col("u_"))).withColumn("u_", F.expr("transform(u_, x -> try_divide(x, l_))")).drop("l_")
     chosen = [row["u_"] for row in unit.orderBy(F.xxhash64("k_"), "k_").limit(pivots).collect()]
     if not chosen:
         return df.select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(0.0).alias("distance")).limit(0)

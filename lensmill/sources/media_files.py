@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 
@@ -147,18 +148,12 @@ def read_exif(data: bytes | None) -> dict:
 
 def exif(content: Column) -> Column:
     """EXIF fields of file contents, as a struct."""
-    names = [c.split()[0] for c in EXIF_SCHEMA.split(", ")]
-
-    @F.pandas_udf(EXIF_SCHEMA)
-    def fields(contents: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame([read_exif(c) for c in contents], columns=names)
-        for n in ("iso", "orientation"):
-            out[n] = pd.to_numeric(out[n]).astype("Int32")
-        for n in ("aperture", "focal_length", "exposure_time", "latitude", "longitude"):
-            out[n] = pd.to_numeric(out[n]).astype("float64")
-        return out
 
-    return fields(content)
+    @F.pandas_udf("string")
+    def fields(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: json.dumps(read_exif(c)))
+
+    return F.from_json(fields(content), EXIF_SCHEMA)
 
 
 def exif_listing(e: Column) -> Column:

@@ -26,10 +26,10 @@ class Store:
 
     def pointer(self) -> dict[str, str]:
         """The current version of each table."""
-        at = self._path(f"{self.root}/_current")
+        at = self._path(f"{self.root}/current.json")
         if not self._fs.exists(at):
             return {}
-        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.root}/_current").first()[0])
+        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.root}/current.json").first()[0])
 
     def exists(self, name: str) -> bool:
         return name in self.pointer()
@@ -46,7 +46,7 @@ class Store:
     def publish(self, **versions: str) -> None:
         """Points to new versions of one or more tables at once."""
         state = json.dumps(self.pointer() | versions)
-        temporary, final = self._path(f"{self.root}/_new-{uuid.uuid4().hex}"), self._path(f"{self.root}/_current")
+        temporary, final = self._path(f"{self.root}/new-{uuid.uuid4().hex}"), self._path(f"{self.root}/current.json")
         self._fs.mkdirs(self._path(self.root))
         out = self._fs.create(temporary, True)
         out.write(bytearray(state.encode()))
