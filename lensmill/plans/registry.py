@@ -40,7 +40,6 @@ def ms(column: str) -> Column:
 
 
 LOWER_SQL = f"'{strings.UPPER}', '{strings.LOWER}'"
-ORDERS_NOW = F.lit("2002-01-01 00:00:00").cast("timestamp_ntz")
 ORDERS_NOW_SQL = "TIMESTAMP '2002-01-01 00:00:00'"
 
 
@@ -527,7 +526,7 @@ def score_sql(density: str, days: str, quality: str, weekends: str, favourites:
     {score_sql("(CASE WHEN n = 1 THEN 1.0 ELSE n / span END)", f"floor((epoch_us({ORDERS_NOW_SQL}) - epoch_us(hi)) / 86400000000)", "quality", "weekends", "favourites", (0.3, 0.3, 0.2, 0.1, 0.1))} AS score FROM s"""
 )
 def album_scores(spark, sf):
-    out = recommend.albums(table(spark, sf, "orders"), "o_custkey", "o_orderdate", F.col("o_totalprice") / 500000.0, F.col("o_orderstatus") == "F", ORDERS_NOW)
+    out = recommend.albums(table(spark, sf, "orders"), "o_custkey", "o_orderdate", F.col("o_totalprice") / 500000.0, F.col("o_orderstatus") == "F", F.lit("2002-01-01 00:00:00").cast("timestamp_ntz"))
     return out.select("o_custkey", "n", "span_days", "is_large", F.round("score", 6).alias("score"))
 
 
