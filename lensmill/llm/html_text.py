@@ -57,6 +57,8 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"d
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>?|<[!?/][^>]*>?|<\Z""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Long numbers in names are those of a page, not of the site.
+LONG_NUMBER = re.compile(r"\d{3,}")
 
 
 class Node:
@@ -89,7 +91,8 @@ def marked(tag: str, given: dict[str, str], parent: Node | None) -> tuple[str, b
         noise = True
     if not rank and not noise and (not MAIN_NAMES.isdisjoint(names) or "".join(names) in MAIN_NAMES) and tag in ("div", "section", "td"):
         rank = 1
-    return f"{tag}.{'.'.join(sorted(set(names)))}", noise, rank
+    said = LONG_NUMBER.sub("", f"{given.get('class', '')} {given.get('id', '')}").lower() if given else ""
+    return f"{tag}.{'.'.join(sorted(set(said.split())))}", noise, rank
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
