@@ -96,3 +96,20 @@ def argmax_buckets(df: DataFrame, key: str, vector: str, least: int = 5, buckets
     rows = df.withColumn("bucket", vectors.argmax(F.col(vector))).filter(F.col("bucket").isNotNull())
     counted = rows.groupBy("bucket").agg(F.count("*").alias("members")).orderBy("bucket").limit(buckets).filter(F.col("members") >= least)
     return rows.join(F.broadcast(counted), "bucket").select(key, "bucket", "members")
+
+
+def hydrated(hits: DataFrame, media: DataFrame, key: str, include_trashed: bool = True) -> DataFrame:
+    """The media rows of search hits with their similarity, best first; trashed ones too unless asked otherwise."""
+    rows = media if include_trashed else media.filter(~F.col("isTrashed"))
+    return rows.join(F.broadcast(hits.select(key, "similarity")), key).orderBy(F.col("similarity").desc(), F.col(key))
+
+
+def backfilled(df: DataFrame, text: str, blob: str) -> DataFrame:
+    """df with the blob of each vector that has only its text form; ``backfill`` says filled, bad or kept.
+
+    A text that is no vector of finite numbers is bad and gets no blob.
+    """
+    made = vectors.encode_blob(vectors.parse_csv(F.col(text)))
+    out = df.withColumn("made_", F.when(F.col(blob).isNull(), made))
+    state = F.when(F.col(blob).isNotNull(), "kept").when(F.col("made_").isNotNull(), "filled").otherwise("bad")
+    return out.withColumn("backfill", state).withColumn(blob, F.coalesce(blob, "made_")).drop("made_")

@@ -17,6 +17,13 @@ OUTPUTS = {
     "image": "width int, height int, mime string",
 }
 
+#: Inputs of the plugin kinds.
+INPUTS = {
+    "image": "path string, width int, height int, pixels binary",
+    "tensor": "values array<float>, shape array<int>",
+    "multimodal": "path string, text string, metadata map<string, string>",
+}
+
 
 def encode_scan(columns: list[str]) -> Column:
     """A scan record of the given columns; nulls are left out."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lensmill import schemas
 from lensmill.functions import dates, detect, features, hashes, maths, strings, vectors
-from lensmill.operators import browse, cluster, merge, recommend, rollup, sessions, text_search
+from lensmill.operators import browse, cluster, dedup, merge, recommend, rollup, sessions, text_search, vector
 from lensmill.plans import pipeline, plugins, tasks
 from lensmill.sources import backup, codecs, media_files
 from lensmill.sources.store import Store
@@ -411,6 +411,47 @@ def test_backup_round_trip(spark, tmp_path):
         backup.check_manifest({"version": 2, "capabilities": ["odd"], "entries": {}})
 
 
+def test_legacy_backup(spark, tmp_path):
+    rows = spark.createDataFrame([("/a", 1), ("/b", 2)], "filePath string, fileSize long")
+    faces = spark.createDataFrame([(7, "/a")], "faceId long, filePath string")
+    backup.write_legacy({"media": rows, "faces": faces}, f"file://{tmp_path}/old")
+    back = backup.read_legacy(spark, f"file://{tmp_path}/old", {"media": "filePath string, fileSize long", "faces": "faceId long, filePath string"})
+    assert sorted(map(tuple, back["media"].collect())) == [("/a", 1), ("/b", 2)] and back["faces"].count() == 1
+
+
+def test_search_hits_and_backfill(spark):
+    media_rows = spark.createDataFrame([("/a", False), ("/b", True)], "filePath string, isTrashed boolean")
+    hits = spark.createDataFrame([("/b", 0.9), ("/a", 0.5), ("/gone", 0.8)], "filePath string, similarity double")
+    assert [r["filePath"] for r in vector.hydrated(hits, media_rows, "filePath").collect()] == ["/b", "/a"]
+    assert [r["filePath"] for r in vector.hydrated(hits, media_rows, "filePath", include_trashed=False).collect()] == ["/a"]
+    df = spark.createDataFrame([(1, "1,2", None), (2, "x", None), (3, "1", b"abcd")], "k int, t string, b binary")
+    got = {r["k"]: (r["backfill"], r["b"] is not None) for r in vector.backfilled(df, "t", "b").collect()}
+    assert got == {1: ("filled", True), 2: ("bad", False), 3: ("kept", True)}
+    spaces = spark.createDataFrame([("s1",)], "spaceId string")
+    assert vector.space_state(spaces, "spaceId", "s2").first()["state"] == vector.SPACE_MISMATCH
+    assert vector.space_state(spaces.limit(0), "spaceId", "s2").first()["state"] == vector.NOT_BUILT
+    meta = spark.createDataFrame([("s1", True), ("s2", True)], "spaceId string, isActive boolean")
+    assert {r["spaceId"]: r["isActive"] for r in backup.drop_orphan_spaces(meta, spaces).collect()} == {"s1": True, "s2": False}
+
+
+def test_duplicate_groups_lose_members(spark):
+    rows = spark.createDataFrame([("/a", 5, b"x"), ("/b", 5, b"x"), ("/c", 5, b"y"), ("/d", 9, b"z")], "p string, s long, c binary")
+    hashed = dedup.hashed(rows, "s", F.col("c"))
+    grouped = dedup.groups(hashed, "p", "s")
+    found = dedup.members(hashed, grouped, "p")
+    assert grouped.select("member_count", "total_bytes", "wasted_bytes", "keep_path").first()[0:4] == (2, 10, 5, "/a")
+    assert [r["p"] for r in dedup.page_of_members(found, "p").orderBy("place").collect()] == ["/a", "/b"]
+    left = rows.filter("p <> '/b'")
+    assert dedup.invalidated(grouped, found, left, "p").first()["invalidated"] and not dedup.invalidated(grouped, found, rows, "p").first()["invalidated"]
+
+
+def test_top_classes_and_labels(spark):
+    df = spark.createDataFrame([(["a", "b", "c"], [0.1, 0.7, 0.2])], "l array<string>, s array<double>")
+    assert [r["label"] for r in df.select(features.top_classes(F.col("l"), F.col("s"), 2)).first()[0]] == ["b", "c"]
+    got = spark.range(3).select(features.mapped_label(F.col("id"), {0: "pet", 2: "food"})).collect()
+    assert [r[0] for r in got] == ["pet", "other", "food"]
+
+
 def test_zip_checks(tmp_path):
     ok, slip = tmp_path / "ok.zip", tmp_path / "slip.zip"
     with zipfile.ZipFile(ok, "w") as z:
