@@ -135,7 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     docs and labels share id_col; labels other than 0 and 1, null ids and null labels are passed
     over. With one class only, every text gets that class's smoothed share as its score.
     ``most_rows`` bounds the rows of the descent: all when there are fewer, else those with the
-    least hashes of their text, about that many. Every training row counts for the ratios.
+    least hashes of id and text, about that many and never twice as many, should one id repeat
+    without end. Every training row counts for the ratios.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
@@ -146,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return None
     if len(counted) < 2:
         return {"constant": (counted.get(1, 0) + 1) / (total + 2)}
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(common.small(known, total), "id").select("y", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(common.small(known, total), "id").select("y", "text", "id")
 
     def counts(it):
         by = np.zeros((2, WIDTH), np.int64)
@@ -163,8 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     picked = texts
     if total > most_rows:  # rare labels are kept at a higher rate, at most half of the sample each
         rate = {y: min(1.0, most_rows / 2 / n) for y, n in counted.items()}
-        part = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-        picked = texts.filter(F.when(F.col("y") == 1, part < rate[1]).otherwise(part < rate[0]))
+        part = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / float(1 << 20)
+        picked = texts.filter(F.when(F.col("y") == 1, part < rate[1]).otherwise(part < rate[0])).limit(2 * most_rows)
+    picked = picked.select("y", "text")
 
     def indexed(it):
         for batch in it:
