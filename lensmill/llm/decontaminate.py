@@ -8,6 +8,7 @@ within that radius (multi-index hashing, Norouzi and others, 2012). Candidates a
 shared weight of five-word shingles, weighted by inverse document frequency over all documents.
 
 Windows that hold no shingle of any item cannot pass verification; only the others are hashed.
+Most documents have no such window, and are read once, with no more than look-ups of their words.
 
 The benchmark is the stated query set: it is read in blocks of at most BLOCK_WORDS words, one
 broadcast index after the other. Documents are neither shuffled nor joined.
@@ -17,12 +18,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StructType
 
 from lensmill.llm import common
 
@@ -32,9 +35,13 @@ BLOCK_RADIUS = 2
 TOKEN = re.compile(r"\w+")
 
 
-def tokens(text: str | None) -> list[bytes]:
+def tokens(text: str | None) -> list[str]:
     """Words in lower case without punctuation."""
-    return [w.encode("utf-8", "surrogatepass") for w in TOKEN.findall(text.lower())] if text else []
+    return TOKEN.findall(text.lower()) if text else []
+
+
+def hashed(words: list[str], hashes: common.WordHashes) -> np.ndarray:
+    return hashes.of([w.encode("utf-8", "surrogatepass") for w in words])
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -72,8 +79,10 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]], words: int):
         hashes = common.WordHashes()
-        kept = [(k, hashes.of(tokens(text))) for k, text in items]
-        kept = [(k, h) for k, h in kept if len(h) >= words]
+        said = [(k, tokens(text)) for k, text in items]
+        kept = [(k, hashed(w, hashes)) for k, w in said if len(w) >= words]
+        #: Hashes of the words of the items; no other word can be in a shared shingle.
+        self.known = {w: hashes[w.encode("utf-8", "surrogatepass")] for _, each in said if len(each) >= words for w in each}
         self.words, self.ids = words, [k for k, _ in kept]
         self.lengths = np.array([len(h) for _, h in kept], np.int64)
         self.sets = [np.unique(grams(h, words)) for _, h in kept]
@@ -102,6 +111,26 @@ class Items:
         at = np.minimum(np.searchsorted(self.vocabulary, shingled), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == shingled, at, -1)
 
+    def hits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """First words of the text's shingles that an item has, and these shingles' places in the vocabulary."""
+        none = np.zeros(0, np.int64)
+        h = np.fromiter(map(self.known.get, words, repeat(0)), np.uint64, len(words))
+        inside = h != 0
+        whole = np.flatnonzero(inside)
+        if len(whole) < self.words:
+            return none, none
+        ends = np.concatenate([[0], np.cumsum(inside)])
+        at = np.flatnonzero(ends[self.words :] - ends[: -self.words] == self.words)
+        if not len(at):
+            return none, none
+        g = np.zeros(len(at), np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(self.words):  # as grams() does, only at these places
+                g = g * np.uint64(0x9E3779B97F4A7C15) + h[at + i]
+                g ^= g >> np.uint64(31)
+        found = self.places(common.mix(g))
+        return at[found >= 0], found[found >= 0]
+
     def similarity(self, shingled: np.ndarray, item: int) -> float:
         """Share of the item's shingle weight that is among these shingles."""
         w = self.weights[np.searchsorted(self.vocabulary, self.sets[item])]
@@ -121,13 +150,15 @@ class Items:
         both = np.unique(np.concatenate(found))
         return both // max(len(self.ids), 1), both % max(len(self.ids), 1)
 
-    def matches(self, hashes: np.ndarray, least: float) -> dict[int, tuple[float, int, int]]:
+    def matches(self, text: str | None, least: float, known: common.WordHashes) -> dict[int, tuple[float, int, int]]:
         """The best window of each item that reaches ``least``: similarity, first word, distance."""
-        shingled = grams(hashes, self.words)
-        hits = np.flatnonzero(self.places(shingled) >= 0) if len(shingled) else shingled
+        words = tokens(text)
+        hits, _ = self.hits(words)
         best: dict[int, tuple[float, int, int]] = {}
         if not len(hits):
             return best
+        hashes = hashed(words, known)
+        shingled = grams(hashes, self.words)
         widest = int(self.lengths.max())
         # Stretches of words that any window with a hit can reach, so long texts cost no more memory.
         gaps = np.flatnonzero(np.diff(hits) > 2 * widest) + 1
@@ -168,28 +199,46 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[li
         yield held
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id: str, item_text: str, words: int):
-    """One broadcast index after the other, weighted by all documents."""
-    spark = docs.sparkSession
-    for block in item_blocks(benchmark, item_id, item_text):
-        index = Items(block, words)
-        sent = spark.sparkContext.broadcast(index)
-
-        def counts(it, sent=sent):
-            index, hashes = sent.value, common.WordHashes()
-            df, n = np.zeros(len(index.vocabulary), np.int64), 0
-            for batch in it:
-                for text in batch.column(0).to_pylist():
-                    n += 1
-                    at = index.places(grams(hashes.of(tokens(text)), index.words))
-                    df[np.unique(at[at >= 0])] += 1
-            at = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([n, *df[at].tolist()], pa.int64())], names=["k", "n"])
+def first_pass(docs: DataFrame, index: Items, text_col: str, keep: str | None):
+    """Document frequencies of the index's shingles over all of docs, and the documents with any.
 
-        rows = docs.select(text_col).mapInArrow(counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
-        by = {r["k"]: r["n"] for r in rows}
-        index.weigh(by.pop(-1, 0), by)
-        yield spark.sparkContext.broadcast(index)
+    Each task adds up its own counts, so what is gathered has at most as many rows as the
+    vocabulary. The documents (id and text) are kept only if ``keep`` names their id.
+    """
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(index)
+    columns = [F.col(text_col).alias("text"), *([F.col(keep).alias("doc")] if keep else [])]
+    source = docs.select(*columns)
+    kind = source.schema["doc"].dataType if keep else IntegerType()
+    id_type = to_arrow_type(kind)
+
+    def read(it):
+        index = sent.value
+        df, n = np.zeros(len(index.vocabulary), np.int64), 0
+        for batch in it:
+            held, texts = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                n += 1
+                _, places = index.hits(tokens(text))
+                if len(places):
+                    df[np.unique(places)] += 1
+                    if keep:
+                        held.append(i)
+                        texts.append(text)
+            if held:
+                blank = pa.nulls(len(held), pa.int64())
+                yield pa.RecordBatch.from_arrays([blank, blank, batch.column("doc").take(pa.array(held)), pa.array(texts, pa.string())], names=["k", "n", "doc", "text"])
+        at = np.flatnonzero(df)
+        k = pa.array([-1, *at.tolist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([k, pa.array([n, *df[at].tolist()], pa.int64()), pa.nulls(len(k), id_type), pa.nulls(len(k), pa.string())], names=["k", "n", "doc", "text"])
+
+    rows = source.mapInArrow(read, f"k long, n long, doc {kind.simpleString()}, text string")
+    if keep:
+        rows, _ = common.written(rows, "hits")
+    counts = rows.filter("k is not null").groupBy("k").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
+    by = {r["k"]: r["n"] for r in counts}
+    index.weigh(by.pop(-1, 0), by)
+    return spark.sparkContext.broadcast(index), rows.filter("k is null").select("doc", "text") if keep else None
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
@@ -203,37 +252,38 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     words than a shingle match nothing, so without usable items the result is empty. Items with the same text are all reported. Repeated
     documents are reported as often as they occur, null ids included.
     """
-    source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    kind, item_kind = source.schema["doc"].dataType.simpleString(), benchmark.schema[item_id].dataType
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id].dataType
     schema = f"`{id_col}` {kind}, item_id {item_kind.simpleString()}, similarity double, first_word long, n_words long, distance long"
-    out = None
-    for sent in indexes(docs, benchmark, text_col, item_id, item_text, words):
+    item_type, out = to_arrow_type(item_kind), None
+    for block in item_blocks(benchmark, item_id, item_text):
+        sent, candidates = first_pass(docs, Items(block, words), text_col, id_col)
 
         def found(it, sent=sent):
             index, hashes = sent.value, common.WordHashes()
             for batch in it:
                 rows = []
                 for i, text in enumerate(batch.column("text").to_pylist()):
-                    for k, (score, first, apart) in sorted(index.matches(hashes.of(tokens(text)), least).items()):
+                    for k, (score, first, apart) in sorted(index.matches(text, least, hashes).items()):
                         rows.append((i, index.ids[k], score, first, int(index.lengths[k]), apart))
                 if rows:
                     at, *rest = zip(*rows, strict=True)
-                    doc = batch.column("doc").take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([doc, *(pa.array(c) for c in rest)], names=[id_col, "item_id", "similarity", "first_word", "n_words", "distance"])
+                    doc, (items, *numbers) = batch.column("doc").take(pa.array(at)), rest
+                    yield pa.RecordBatch.from_arrays([doc, pa.array(items, item_type), *(pa.array(c) for c in numbers)], names=[id_col, "item_id", "similarity", "first_word", "n_words", "distance"])
 
-        part = source.mapInArrow(found, schema)
+        part = candidates.mapInArrow(found, schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """docs without the rows in which find_leaks() finds an item; all columns and other rows stay."""
-    for sent in indexes(docs, benchmark, text_col, item_id, item_text, words):
+    for block in item_blocks(benchmark, item_id, item_text):
+        sent, _ = first_pass(docs, Items(block, words), text_col, None)
 
         def clean(it, sent=sent):
             index, hashes = sent.value, common.WordHashes()
             for batch in it:
-                yield batch.filter(pa.array([not index.matches(hashes.of(tokens(t)), least) for t in batch.column(text_col).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not index.matches(t, least, hashes) for t in batch.column(text_col).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(clean, StructType(docs.schema.fields))
     return docs
