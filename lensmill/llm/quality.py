@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         at = np.flatnonzero(by.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(by[1, at]), pa.array(by[0, at])], names=["k", "p", "q"])
 
-    summed = texts.mapInArrow(counts, "k long, p long, q long").groupBy("k").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    summed = texts.select("y", "text").mapInArrow(counts, "k long, p long, q long").groupBy("k").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     r = ratios([tuple(x) for x in summed.collect()])  # at most WIDTH rows
     sent = spark.sparkContext.broadcast(r.astype(np.float32))
 
