@@ -487,7 +487,7 @@ def largest_per_group(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg((-top).alias("l_linenumber"))
 
 
-@query("SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_size DESC, p_partkey) AS rank FROM part QUALIFY rank <= 20")
+@query("SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_size DESC, p_partkey) AS rank FROM part QUALIFY rank <= 20 AND count(*) OVER (PARTITION BY p_brand) >= 5")
 def topn_per_group(spark, sf):
     order = [F.col("p_retailprice").desc(), F.col("p_size").desc(), F.col("p_partkey").asc()]
     return recommend.top_per_group(table(spark, sf, "part"), "p_brand", order, 20, 5).select("p_brand", "p_partkey", "rank")
