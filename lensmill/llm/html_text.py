@@ -263,7 +263,10 @@ def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", t
     pages = pages.drop(*[c for c in (text_col, "n_chars") if c not in (url_col, html_col)])
     low = style_tree(pages, url_col=url_col, html_col=html_col).filter((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
     # One row per host that has noisy branches; each held at least MIN_PAGES pages.
-    noisy = low.groupBy("host").agg(F.collect_list("path").alias("noisy_"))
+    noisy, _ = common.written(low.groupBy("host").agg(F.collect_list("path").alias("noisy_")), "noisy")
+    branches = noisy.agg(F.coalesce(F.sum(F.size("noisy_")), F.lit(0))).first()[0]
+    # A plain table: broadcast while it is small, else pages of a hot host can be split over tasks.
+    noisy = common.small(noisy, branches)
     host = common.free_name(pages, "host_")
     joined = pages.withColumn(host, url_filter.host_of(F.col(url_col))).join(noisy.withColumnRenamed("host", "of_"), F.col(host) == F.col("of_"), "left")
     kept = pages.columns
