@@ -37,8 +37,8 @@ from lensmill.llm import common
 #: Rows of a bucket that one task compares with each other, and shingles of a group likewise.
 BUCKET_BLOCK = 2048
 GROUP_BLOCK = 400_000
-#: Cost of comparing a candidate pair, in signatures made and shuffled.
-PAIR_COST = 4.0
+#: Cost of comparing the sketches of a pair, in signatures made, shuffled twice and sorted.
+PAIR_COST = 0.05
 
 
 @dataclass(frozen=True)
@@ -312,10 +312,10 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     of = reps.select("node", "d1", "d2", "n", "first", "copies").join(found, "node", "left").join(counts, "node", "left")
     least = of.filter("comp is not null").groupBy("comp").agg(F.min("first").alias("least"))
     of = of.join(least, "comp", "left").select("d1", "d2", "n", F.coalesce("least", "first").alias("least"), F.coalesce("links", F.lit(0)).alias("links"))
-    of, _ = common.written(of, "classes")
+    of, _ = common.written(classes.join(of, ["d1", "d2", "n"], "left"), "classes")
     common.drop(spark, reps_path, candidates_path, held_path, links_path, found_path)
 
-    of = classes.join(of, ["d1", "d2", "n"], "left")
+    # Two plain tables: rows of a class with very many copies can be split over tasks.
     result = sizes.join(of, ["d1", "d2", "n"], "left")
     return result.select(
         F.col("doc").alias(id_col),
