@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -49,17 +50,23 @@ def _drop_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def written(df: DataFrame, name: str, free: bool = False) -> tuple[DataFrame, str]:
     """df as a table in the shared folder, and its path.
 
     It cuts the lineage: a lost executor costs only tasks that read the table again. What a
-    returned DataFrame still reads goes when the program ends.
+    returned DataFrame still reads goes when the program ends. Shuffle files behind df are of no
+    use any more; ``free`` lets Spark's cleaner know at once, which is worth it for large ones.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lensmill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop_quietly, spark, path)
-    return spark.read.schema(df.schema).parquet(path), path
+    schema = df.schema
+    if free:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path), path
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

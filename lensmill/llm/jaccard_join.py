@@ -261,14 +261,15 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     reps = source.select("text").mapInArrow(signed, "n long, d1 long, d2 long, sketch binary, sigs array<long>")
     reps = reps.groupBy("d1", "d2", "n").agg(F.first("sketch").alias("sketch"), F.first("sigs").alias("sigs"))
     reps = reps.join(classes, ["d1", "d2", "n"]).withColumn("node", F.monotonically_increasing_id())
-    reps, reps_path = common.written(reps, "signed")
+    reps, reps_path = common.written(reps, "signed", free=True)
 
     # Buckets; those with the same members (by two sums of hashes) are one.
     sigs = reps.select("node", F.explode("sigs").alias("sig"))
     hashes_of = lambda i: F.sum(F.shiftright(F.xxhash64("node", F.lit(i)), 24))
     buckets = sigs.groupBy("sig").agg(F.count("*").alias("m"), hashes_of(1).alias("h1"), hashes_of(2).alias("h2")).filter("m > 1")
-    buckets = buckets.groupBy("m", "h1", "h2").agg(F.min("sig").alias("sig"))
-    members = sigs.join(buckets.select("sig", "m"), "sig")
+    buckets = buckets.groupBy("m", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig", "m")
+    buckets, buckets_path = common.written(buckets, "buckets", free=True)
+    members = sigs.join(common.small(buckets, buckets.count()), "sig")
     members = members.join(reps.select("node", "n", "sketch"), "node")
     members = members.withColumn("blocks", F.ceil(F.col("m") / BUCKET_BLOCK).cast("int")).drop("m")
 
@@ -313,7 +314,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     least = of.filter("comp is not null").groupBy("comp").agg(F.min("first").alias("least"))
     of = of.join(least, "comp", "left").select("d1", "d2", "n", F.coalesce("least", "first").alias("least"), F.coalesce("links", F.lit(0)).alias("links"))
     of, _ = common.written(classes.join(of, ["d1", "d2", "n"], "left"), "classes")
-    common.drop(spark, reps_path, candidates_path, held_path, links_path, found_path)
+    common.drop(spark, reps_path, buckets_path, candidates_path, held_path, links_path, found_path)
 
     # Two plain tables: rows of a class with very many copies can be split over tasks.
     result = sizes.join(of, ["d1", "d2", "n"], "left")

@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     if total > most_rows:  # rare labels are kept at a higher rate, at most half of the sample each
         rate = {y: min(1.0, most_rows / 2 / n) for y, n in counted.items()}
         part = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / float(1 << 20)
-        picked = texts.filter(F.when(F.col("y") == 1, part < rate[1]).otherwise(part < rate[0])).limit(2 * most_rows)
+        picked = texts.filter(F.when(F.col("y") == 1, part < rate[1]).otherwise(part < rate[0]))
     picked = picked.select("y", "text")
 
     def indexed(it):
@@ -185,7 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         weights, a, b = fit([samples[i] for i in order], np.array(y)[order], sent.value)
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([a]), pa.array([b])], names=["w", "a", "b"])
 
-    one = picked.mapInArrow(indexed, "y int, at array<int>").repartition(1).mapInArrow(fitted, "w binary, a double, b double").first()
+    # The limit leaves one partition: the sample, as feature numbers.
+    one = picked.mapInArrow(indexed, "y int, at array<int>").limit(2 * most_rows).mapInArrow(fitted, "w binary, a double, b double").first()
     return {"r": sent, "w": np.frombuffer(one["w"], np.float32), "a": one["a"], "b": one["b"]}
 
 
