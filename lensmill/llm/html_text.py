@@ -7,9 +7,10 @@ that varies and texts that few pages share make a branch important, the same few
 after page make it noise. Each page then loses its branches of low importance.
 
 Two kinds of branches are decided by what their tags or names say, whatever the entropy: menus,
-footers, sidebars, notices, adverts, forms, scripts, styles and comments go; inside the element
-that is marked as the article nothing else goes. So a host with too few pages for an entropy, or
-with many copies of one article, is still read rightly.
+footers, sidebars, notices, adverts, forms, scripts, styles and comments go; the element that is
+marked as the article stays, and the tree decides on the branches in it. Where the article's own
+branch is of low importance (a host with many copies of one article), or a host has too few pages
+for an entropy, markup alone decides.
 
 The tree is never held anywhere: it is a table of (host, path) with sums, built by two grouped
 sums with partial aggregation, so a host with a third of all pages is as cheap as many small ones.
@@ -187,13 +188,24 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def repeated(node: Node, noisy: frozenset[int]) -> bool:
+    """Whether a branch in the node's marked article is noisy, and the article's own is not."""
+    inner, article = False, node
+    while article.parent is not None and article.parent.inside == node.inside:
+        inner = inner or signed(article.path) in noisy
+        article = article.parent
+    return inner and signed(article.path) not in noisy
+
+
 def main_text(page: str, noisy: frozenset[int]) -> str:
     """Text of the page without its noise and the branches in ``noisy``."""
     _, blocks = parse(page)
     clean = [(n, t) for n, t in blocks if not n.noise]
     level = max((n.inside for n, _ in clean), default=0)
     if level >= 2:  # an element is marked as the article
-        return "\n".join(t for n, t in clean if n.inside == level)
+        article = [(n, t) for n, t in clean if n.inside == level]
+        left = [(n, t) for n, t in article if not repeated(n, noisy)] if noisy else article
+        return "\n".join(t for _, t in left or article)
     left = [(n, t) for n, t in clean if noisy.isdisjoint(branch(n))] if noisy else clean
     if any(n.inside for n, _ in left):  # a telling name counts only where the entropy leaves it
         left = [(n, t) for n, t in left if n.inside]

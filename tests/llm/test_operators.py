@@ -395,6 +395,18 @@ def test_style_tree_removes_shared_branches(spark):
     assert set(tree) == {"big.example.com", "small.example.com"}
 
 
+def test_style_tree_reaches_into_marked_articles(spark):
+    body = lambda i: f"<article><h1>title {i}</h1><p>text {i}</p><div class=x9><p>Shared line</p></div></article>"
+    copy = "<article><h1>one</h1><div class=x9><p>same text</p></div></article>"
+    rows = [(i, "http://big.example.com/p", body(i)) for i in range(40)] + [(100, "http://small.example.com/", body(100))] + [(200 + i, "http://copies.example.com/", copy) for i in range(20)]
+    rows.append((300, "http://big.example.com/q", "<article><div class=x9><p>Shared line</p></div></article>"))
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"title {i}\ntext {i}" for i in range(40))
+    assert got[100] == "title 100\ntext 100\nShared line"  # too few pages for an entropy
+    assert all(got[200 + i] == "one\nsame text" for i in range(20))  # the article itself is what repeats
+    assert got[300] == "Shared line"  # a marked article is not emptied
+
+
 def test_importance_equals_its_definition(spark):
     texts = ["a", "a", "a", "b", "c", "d", "d", "e"]
     df = spark.createDataFrame([(f"http://h/{i}", f"<body><div><p>{t}</p></div></body>") for i, t in enumerate(texts)], "url string, html string")
