@@ -1,14 +1,15 @@
 """Benchmark decontamination by SimHash windows and exact weighted shingles.
 
 Method: a text is read as windows of words that have the size of a benchmark item, at every word.
-Each window has a 64-bit SimHash of its words (Charikar, 2002). Items are indexed by blocks of
-their fingerprint: of four 16-bit blocks at least one is within two bits when fingerprints differ
-in at most RADIUS = 11, so filing each block under all values within two bits finds every item
-within that radius (multi-index hashing, Norouzi and others, 2012). Candidates are verified by the
-shared weight of five-word shingles, weighted by inverse document frequency over all documents.
+Candidates are verified by the shared weight of five-word shingles, weighted by inverse document
+frequency over all documents. Each window has a 64-bit SimHash of its words (Charikar, 2002), but
+no radius under 64 bits keeps every window of a given similarity: with a fifth of its words
+replaced a copy is some 12 bits away, often more. So fingerprints drop nothing. An item is a
+candidate where its shingles in the text can reach the similarity, which an inverted index of
+shingles tells, and so is each of its windows; the best one's distance is reported.
 
-Windows that hold no shingle of any item cannot pass verification; only the others are hashed.
-Most documents have no such window, and are read once, with no more than look-ups of their words.
+Texts that hold no shingle of any item cannot pass verification. Most documents are such, and are
+read once, with no more than look-ups of their words.
 
 The benchmark is the stated query set: it is read in blocks of at most BLOCK_WORDS words, one
 broadcast index after the other. Documents are neither shuffled nor joined.
@@ -30,8 +31,10 @@ from pyspark.sql.types import IntegerType, StructType
 from lensmill.llm import common
 
 BLOCK_WORDS = 500_000
-RADIUS = 11
-BLOCK_RADIUS = 2
+#: Fingerprints may differ in all bits: a smaller radius loses windows that reach the similarity.
+RADIUS = 64
+#: Sums in another order differ by less.
+ROUNDING = 1e-9
 TOKEN = re.compile(r"\w+")
 
 
@@ -67,13 +70,6 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums >= 0, axis=1).view(np.uint64).ravel()
 
 
-def variants(block: np.ndarray) -> np.ndarray:
-    """Each 16-bit value with all values within BLOCK_RADIUS bits: one row per value."""
-    one = np.left_shift(1, np.arange(16))
-    masks = [0, *one, *(a | b for i, a in enumerate(one) for b in one[i + 1 :])]
-    return block[:, None] ^ np.array(masks, np.int64)[None, :]
-
-
 class Items:
     """The index over one block of items."""
 
@@ -88,21 +84,23 @@ class Items:
         self.sets = [np.unique(grams(h, words)) for _, h in kept]
         self.vocabulary = np.unique(np.concatenate([*self.sets, np.zeros(0, np.uint64)]))
         self.prints = fingerprints(np.stack([signs(h).sum(axis=0) for _, h in kept])) if kept else np.zeros(0, np.uint64)
-        self.tables = []
-        for b in range(4):
-            keys = variants(((self.prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64))
-            owner = np.repeat(np.arange(len(kept)), keys.shape[1]) if kept else np.zeros(0, np.int64)
-            order = np.argsort(keys.ravel(), kind="stable")
-            starts = np.searchsorted(keys.ravel()[order], np.arange(65537))
-            self.tables.append((starts.astype(np.int32), owner[order].astype(np.int32)))
-        self.weights = np.ones(len(self.vocabulary))
+        #: The items that have each shingle of the vocabulary, one after the other.
+        held = [self.places(each) for each in self.sets]
+        order = np.argsort(np.concatenate([*held, np.zeros(0, np.int64)]), kind="stable")
+        self.owners = np.repeat(np.arange(len(held)), [len(each) for each in held])[order]
+        self.starts = np.searchsorted(np.concatenate([*held, np.zeros(0, np.int64)])[order], np.arange(len(self.vocabulary) + 1))
+        self.set_weights(np.ones(len(self.vocabulary)))
+
+    def set_weights(self, weights: np.ndarray) -> None:
+        self.weights = weights
+        self.totals = np.array([weights[self.places(each)].sum() for each in self.sets], np.float64)
 
     def weigh(self, documents: int, frequency: dict[int, int]) -> None:
         """Sets inverse document frequencies; frequency: documents by place in the vocabulary."""
         df = np.zeros(len(self.vocabulary))
         for k, v in frequency.items():
             df[k] = v
-        self.weights = np.log((documents + 1) / (df + 1)) + 1.0
+        self.set_weights(np.log((documents + 1) / (df + 1)) + 1.0)
 
     def places(self, shingled: np.ndarray) -> np.ndarray:
         """Place in the vocabulary of each shingle, or -1."""
@@ -137,51 +135,46 @@ class Items:
         return float(w[np.isin(self.sets[item], shingled)].sum() / w.sum())
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs within RADIUS: all of them, by the four tables."""
-        found = []
-        for b, (starts, owner) in enumerate(self.tables):
-            key = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            count = starts[key + 1] - starts[key]
-            window = np.repeat(np.arange(len(prints)), count)
-            offset = np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count)
-            item = owner[starts[key][window] + offset]
-            close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
-            found.append(window[close] * np.int64(max(len(self.ids), 1)) + item[close])
-        both = np.unique(np.concatenate(found))
-        return both // max(len(self.ids), 1), both % max(len(self.ids), 1)
+        """(window, item) pairs within RADIUS: all of them, by direct comparison."""
+        return np.nonzero(np.bitwise_count(prints[:, None] ^ self.prints[None, :]) <= RADIUS)
 
     def matches(self, text: str | None, least: float, known: common.WordHashes) -> dict[int, tuple[float, int, int]]:
         """The best window of each item that reaches ``least``: similarity, first word, distance."""
         words = tokens(text)
-        hits, _ = self.hits(words)
+        at, places = self.hits(words)
         best: dict[int, tuple[float, int, int]] = {}
-        if not len(hits):
+        if not len(at):
             return best
-        hashes = hashed(words, known)
-        shingled = grams(hashes, self.words)
-        widest = int(self.lengths.max())
-        # Stretches of words that any window with a hit can reach, so long texts cost no more memory.
-        gaps = np.flatnonzero(np.diff(hits) > 2 * widest) + 1
-        for run in np.split(hits, gaps):
-            lo, hi = max(0, int(run[0]) + self.words - widest), min(len(hashes), int(run[-1]) + widest)
-            sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(hashes[lo:hi]), axis=0, dtype=np.int32)])
-            held = np.zeros(hi - lo + 1, np.int64)
-            held[run - lo + 1] = 1
-            held = np.cumsum(held)
-            for size in np.unique(self.lengths):
-                if size > hi - lo:
+        # Items that the shingles of the whole text could lift to least; no others have such a window.
+        shared = np.unique(places)
+        count = self.starts[shared + 1] - self.starts[shared]
+        offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        owner = self.owners[np.repeat(self.starts[shared], count) + offset]
+        weight = np.bincount(owner, np.repeat(self.weights[shared], count), len(self.ids))
+        for k in np.flatnonzero((weight > 0) & (weight >= least * self.totals - ROUNDING)).tolist():
+            mine = self.places(self.sets[k])
+            held = np.isin(places, mine)
+            first, place = at[held], places[held]
+            size, span = int(self.lengths[k]), int(self.lengths[k]) - self.words
+            if size > len(words):
+                continue
+            # A window changes where a shingle enters or leaves it; of equal windows the first counts.
+            starts = np.unique(np.clip(np.concatenate([first - span, first + 1, [0]]), 0, len(words) - size))
+            lo, hi = np.searchsorted(first, starts), np.searchsorted(first, starts + span, "right")
+            sums = np.concatenate([[0.0], np.cumsum(self.weights[place])])
+            bound = (sums[hi] - sums[lo]) / self.totals[k]
+            top = (least, -len(words))
+            for i in np.lexsort((starts, -bound)).tolist():
+                if bound[i] < top[0] - ROUNDING:
                     break
-                starts = np.arange(hi - lo - size + 1)
-                starts = starts[held[starts + size - self.words + 1] > held[starts]]
-                window, item = self.near(fingerprints(sums[starts + size] - sums[starts]))
-                same = self.lengths[item] == size
-                for s, k in zip(starts[window[same]].tolist(), item[same].tolist(), strict=True):
-                    score = self.similarity(shingled[lo + s : lo + s + size - self.words + 1], k)
-                    if score >= least:
-                        a = fingerprints(sums[s + size : s + size + 1] - sums[s : s + 1])[0]
-                        row = (score, -(lo + s), -int(np.bitwise_count(a ^ self.prints[k])))
-                        best[k] = max(best.get(k, (-1.0,)), row)
-        return {k: (v[0], -v[1], -v[2]) for k, v in best.items()}
+                w = self.weights[mine]
+                score = float(w[np.isin(mine, place[lo[i] : hi[i]])].sum() / w.sum())
+                top = max(top, (score, -int(starts[i])))
+            if top[1] > -len(words):
+                s = -top[1]
+                a = fingerprints(signs(hashed(words[s : s + size], known)).sum(axis=0)[None, :])[0]
+                best[k] = (top[0], s, int(np.bitwise_count(a ^ self.prints[k])))
+        return best
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:

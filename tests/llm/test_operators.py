@@ -247,6 +247,20 @@ def test_near_finds_all_within_the_radius():
     assert set(zip(window.tolist(), item.tolist(), strict=True)) == {(int(a), int(b)) for a, b in np.argwhere(apart <= decontaminate.RADIUS)}
 
 
+def test_edited_leaks_are_found_at_any_distance():
+    rng, known = np.random.default_rng(8), common.WordHashes()
+    items = [(i, " ".join(f"w{w}" for w in rng.integers(0, 10**6, int(rng.integers(15, 60))))) for i in range(300)]
+    index, far = decontaminate.Items(items, 5), 0
+    for k, (_, item) in enumerate(items):
+        piece = item.split()
+        kept = len(piece) - int(0.2 * (len(piece) - 4))  # the last words replaced: at least 0.8 of the shingles stay
+        text = " ".join(["before"] * 70 + piece[:kept] + [f"z{w}" for w in rng.integers(0, 10**6, 70)])
+        got = index.matches(text, 0.8, known)
+        assert list(got) == [k] and got[k][0] == (kept - 4) / (len(piece) - 4)
+        far += got[k][2] > 11
+    assert far > 0
+
+
 def test_leak_queries(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)  # several blocks of items
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
