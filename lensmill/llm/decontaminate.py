@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash windows and exact weighted shingles.
 
-Method: a text is read as windows of words that have the size of a benchmark item, at every word.
+Method: a text is read as windows of words that have the size of a benchmark item, at every word;
+a text shorter than the item is one window.
 Candidates are verified by the shared weight of five-word shingles, weighted by inverse document
 frequency over all documents. Each window has a 64-bit SimHash of its words (Charikar, 2002), but
 no radius under 64 bits keeps every window of a given similarity: with a fifth of its words
@@ -156,10 +157,8 @@ class Items:
             held = np.isin(places, mine)
             first, place = at[held], places[held]
             size, span = int(self.lengths[k]), int(self.lengths[k]) - self.words
-            if size > len(words):
-                continue
             # A window changes where a shingle enters or leaves it; of equal windows the first counts.
-            starts = np.unique(np.clip(np.concatenate([first - span, first + 1, [0]]), 0, len(words) - size))
+            starts = np.unique(np.clip(np.concatenate([first - span, first + 1, [0]]), 0, max(len(words) - size, 0)))
             lo, hi = np.searchsorted(first, starts), np.searchsorted(first, starts + span, "right")
             sums = np.concatenate([[0.0], np.cumsum(self.weights[place])])
             bound = (sums[hi] - sums[lo]) / self.totals[k]
@@ -238,8 +237,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     """One row per document and benchmark item that it holds a copy of.
 
     Columns: id_col, item_id (both as in the tables), similarity (0 to 1, the share of the item's
-    shingle weight), first_word (the best window's place; the first of equal ones), n_words and
-    distance (bits by which the fingerprints differ). Letter case and punctuation do not count.
+    shingle weight), first_word (the best window's place; the first of equal ones), n_words (of the
+    item; a shorter text is one window) and distance (bits by which the fingerprints differ). Letter case and punctuation do not count.
 
     Whole texts are read. Null and empty texts hold nothing; items that are null or have fewer
     words than a shingle match nothing, so without usable items the result is empty. Items with the same text are all reported. Repeated

@@ -261,6 +261,22 @@ def test_edited_leaks_are_found_at_any_distance():
     assert far > 0
 
 
+def test_texts_shorter_than_the_item_are_one_window():
+    rng, known = np.random.default_rng(9), common.WordHashes()
+    items = [(i, " ".join(words(rng, int(rng.integers(5, 60))))) for i in range(40)]
+    index, found = decontaminate.Items(items, 5), 0
+    for k, (_, item) in enumerate(items):
+        for cut in range(12):
+            for text in (item.split()[cut:], item.split()[: len(item.split()) - cut]):
+                h = decontaminate.hashed(text, known)
+                got = index.matches(" ".join(text), 0.8, known)
+                for other, size in enumerate(index.lengths.tolist()):  # every window of the item's size, or all
+                    scores = [index.similarity(decontaminate.grams(h[s : s + size], 5), other) for s in range(max(len(h) - size, 0) + 1)]
+                    assert got.get(other, (0.0, 0))[:2] == ((max(scores), scores.index(max(scores))) if max(scores) >= 0.8 else (0.0, 0))
+                found += cut > 0 and k in got
+    assert found > 0
+
+
 def test_leak_queries(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)  # several blocks of items
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
