@@ -56,7 +56,7 @@ MAIN_NAMES = frozenset("article articlebody content entry maincontent post postb
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>?|<[!?/][^>]*>?|<\Z""", re.DOTALL)
-ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s/>=]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Long numbers in names are those of a page, not of the site.
 LONG_NUMBER = re.compile(r"\d{3,}")
@@ -65,35 +65,74 @@ LONG_NUMBER = re.compile(r"\d{3,}")
 class Node:
     """An element of a page: its place in the style tree, and what its marking says."""
 
-    __slots__ = ("children", "inside", "noise", "parent", "path", "rank", "tag")
+    __slots__ = ("children", "holds", "inside", "named", "noise", "parent", "path", "rank", "sure", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, path: int, noise: bool, rank: int):
+    def __init__(self, tag: str, parent: Node | None, path: int, noise: bool, rank: int, named: int = 0):
         self.tag, self.parent, self.path, self.children = tag, parent, path, []
-        self.noise = noise or (parent is not None and parent.noise)
-        self.rank = rank
+        #: Noise by tag, role or hidden, here or around; with its names, noise is settled by settle().
+        self.sure = self.noise = noise or (parent is not None and parent.sure)
+        self.rank, self.named, self.holds = rank, named, False
         #: The strongest mark of an article around the node: 3 article, 2 main, 1 a telling name.
         self.inside = max(rank, parent.inside if parent else 0)
 
 
 def attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(text)} if text.strip() else {}
+    """Attributes by name in lower case; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        value = m[2] or ""
+        out.setdefault(m[1].lower(), value[1:-1] if value[:1] in ("'", '"') and value[-1] == value[0] and len(value) > 1 else value)
+    return out
+
+
+def words_of(name: str) -> list[str]:
+    return [n.lower() for n in NAME.findall(name)]
 
 
-def marked(tag: str, given: dict[str, str], parent: Node | None) -> tuple[str, bool, int]:
-    """Signature of an element, whether its marking makes it noise, and its rank as an article."""
-    names = [n.lower() for n in NAME.findall(f"{given.get('class', '')} {given.get('id', '')}")] if given else []
-    rank = 3 if tag == "article" else 2 if tag == "main" or given.get("role") == "main" else 0
+def noise_named(given: dict[str, str]) -> int:
+    """How far class and id name noise: 0 not, 1 with a word of some, 2 with all of one or some of each."""
+    said = [w for w in map(words_of, f"{given.get('class', '')} {given.get('id', '')}".split()) if w]
+    some = [not NOISE_NAMES.isdisjoint(w) for w in said]
+    return 2 if some and (all(some) or any(NOISE_NAMES.issuperset(w) for w in said)) else int(any(some))
+
+
+def marked(tag: str, given: dict[str, str], parent: Node | None) -> tuple[str, bool, int, int]:
+    """Signature of an element, whether it is noise by tag, role or hidden, its rank as an article, and noise_named()."""
+    names = words_of(f"{given.get('class', '')} {given.get('id', '')}") if given else []
+    rank = 3 if tag == "article" else 2 if tag == "main" or given.get("role", "").lower() == "main" else 0
     if given.get("itemprop", "").lower() == "articlebody":
         rank = 3
-    noise = tag in NOISE_TAGS or given.get("role", "").lower() in NOISE_ROLES or "hidden" in given
-    if tag not in ("html", "body", "main") and not NOISE_NAMES.isdisjoint(names):
-        noise = True
+    noise = tag in NOISE_TAGS or given.get("role", "").lower() in NOISE_ROLES or "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true"
+    named = noise_named(given) if names and tag not in ("html", "body", "main") else 0
     if tag == "header" and not (parent and parent.inside >= 2):
         noise = True
-    if not rank and not noise and (not MAIN_NAMES.isdisjoint(names) or "".join(names) in MAIN_NAMES) and tag in ("div", "section", "td"):
+    if not rank and not noise and named < 2 and (not MAIN_NAMES.isdisjoint(names) or "".join(names) in MAIN_NAMES) and tag in ("div", "section", "td"):
         rank = 1
     said = LONG_NUMBER.sub("", f"{given.get('class', '')} {given.get('id', '')}").lower() if given else ""
-    return f"{tag}.{'.'.join(sorted(set(said.split())))}", noise, rank
+    return f"{tag}.{'.'.join(sorted(set(said.split())))}", noise, rank, named
+
+
+def settle(nodes: list[Node], blocks: list[tuple[Node, str]]) -> None:
+    """Decides on noise by names.
+
+    One word of a name does not make noise of what is or holds an article. A whole name does,
+    unless the page's marked articles are all in such elements.
+    """
+    if not any(n.named for n in nodes):
+        return
+    for strict in (True, False):
+        for node in nodes:
+            node.holds = False
+        for node in nodes:
+            if node.rank >= 2 and not node.sure:
+                while node is not None and not node.holds and not (strict and node.named == 2):
+                    node.holds = True
+                    node = node.parent
+        for node in nodes[1:]:
+            own = node.named == 2 or node.named == 1 and not node.rank
+            node.noise = node.sure or node.parent.noise or own and not node.holds
+        if any(n.inside >= 2 and not n.noise for n, _ in blocks) or not any(n.rank >= 2 for n in nodes):
+            return
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
@@ -160,9 +199,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                         break
                 node = node.parent
         given = attributes(m[3])
-        signature, noise, rank = marked(tag, given, top)
+        signature, noise, rank, named = marked(tag, given, top)
         path = xxhash.xxh64_intdigest(signature, top.path & 0xFFFFFFFF) ^ top.path >> 32
-        node = Node(tag, top, path, noise, rank)
+        node = Node(tag, top, path, noise, rank, named)
         nodes.append(node)
         top.children.append(signature)
         if tag in VOID:
@@ -199,7 +238,8 @@ def repeated(node: Node, noisy: frozenset[int]) -> bool:
 
 def main_text(page: str, noisy: frozenset[int]) -> str:
     """Text of the page without its noise and the branches in ``noisy``."""
-    _, blocks = parse(page)
+    nodes, blocks = parse(page)
+    settle(nodes, blocks)
     clean = [(n, t) for n, t in blocks if not n.noise]
     level = max((n.inside for n, _ in clean), default=0)
     if level >= 2:  # an element is marked as the article

@@ -406,6 +406,21 @@ def test_main_text_by_marks():
     assert html_text.main_text("<div><div><p>deep</div>after</div>" * 300, frozenset()).count("deep") == 300
 
 
+@pytest.mark.parametrize(
+    "marks",
+    ['div style="overflow:hidden"', "div aria-hidden=false", 'div title="hidden costs"', 'div data-hidden data-class="ad"', "div data-role='menu'", 'div class="content has-sidebar"', "div class=has-sidebar", 'div class="page" class="ad"', "div title='a > b' lang=en"],
+)
+def test_marks_are_whole_attributes(marks):
+    assert html_text.main_text(f"<{marks}><article class='post comments-open'><p>one</p><p style='overflow:hidden'>two</p></article></div><div class=ad>no</div>", frozenset()) == "one\ntwo"
+
+
+def test_marked_noise_still_goes():
+    for marks in ("hidden", "HIDDEN=''", 'aria-hidden="true"', "class='x ad'", 'class="cookie-notice"', "role=menu", "class=comment-list"):
+        assert html_text.main_text(f"<article><p>one</p><div {marks}>no</div></article>", frozenset()) == "one", marks
+    assert html_text.main_text("<article><p>one</p></article><ol class=comment-list><li class='comment even'><article class=comment-body>no</article></ol>", frozenset()) == "one"
+    assert html_text.main_text("<div class='content has-sidebar'><p>one</p></div><div class=sidebar>no</div>", frozenset()) == "one"
+
+
 def test_style_tree_removes_shared_branches(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
