@@ -269,8 +269,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """docs without the rows in which find_leaks() finds an item; all columns and other rows stay."""
-    for block in item_blocks(benchmark, item_id, item_text):
-        sent, _ = first_pass(docs, Items(block, words), text_col, None)
+    # All blocks weigh by the same documents, so weights do not depend on how items fall into blocks.
+    indexes = [first_pass(docs, Items(block, words), text_col, None)[0] for block in item_blocks(benchmark, item_id, item_text)]
+    for sent in indexes:
 
         def clean(it, sent=sent):
             index, hashes = sent.value, common.WordHashes()

@@ -291,6 +291,17 @@ def test_leak_queries(spark, monkeypatch):
     assert decontaminate.find_leaks(df.limit(0), bench).count() == 0
 
 
+def test_blocks_weigh_by_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 1)  # each item is a block
+    first, second = " ".join(f"a{i}" for i in range(10)), [f"b{i}" for i in range(24)]
+    bench = spark.createDataFrame([(1, first), (2, " ".join(second))], "item_id int, text string")
+    rows = [(i, f"{first} x{i} {' '.join(second[15:])}", None, "a") for i in range(30)] + [(30, " ".join([*second[:19], *"pqrstuvw"]), None, "a")] + [(31 + i, f"clean text number {i} here", None, "a") for i in range(9)]
+    df = docs_of(spark, rows)
+    leaks = {r["doc_id"] for r in decontaminate.find_leaks(df, bench).collect()}
+    assert leaks == set(range(31))
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(df, bench).collect()) == list(range(31, 40))
+
+
 # --- 5: TIFF --------------------------------------------------------------------------------
 
 
