@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 #: White space of the word contracts; a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+SPACES = " \t\n\v\f\r"
 #: A side with at most so many rows (of two or three numbers each) may be broadcast: tens of MB.
 BROADCAST_ROWS = 500_000
 
@@ -88,16 +89,20 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words (bytes), kept for the words met so far, at most ``most`` of them."""
+    """64-bit hashes of words (bytes), kept for the words met so far, up to about ``most`` bytes of them."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 24 << 20):
         super().__init__()
-        self.most = most
+        self.most, self.room = most, most
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) < 100:  # longer ones seldom come again
+            self.room -= len(word) + 180  # of the word, its hash and their place
+            if self.room < 0:
+                self.clear()
+                self.room = self.most
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
