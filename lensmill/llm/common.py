@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -11,7 +11,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the word contracts; a word is a run of anything else.
@@ -27,10 +27,12 @@ _own_dir: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share.
 
-    Only where that is unset, as in tests on one machine, a temporary folder stands in.
+    Where that is unset a temporary folder stands in, but only if all runs on this machine.
     """
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="lensmill-"))
     return _own_dir[0]
@@ -51,23 +53,17 @@ def _drop_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str, free: bool = False) -> tuple[DataFrame, str]:
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df as a table in the shared folder, and its path.
 
     It cuts the lineage: a lost executor costs only tasks that read the table again. What a
-    returned DataFrame still reads goes when the program ends. Shuffle files behind df are of no
-    use any more; ``free`` lets Spark's cleaner know at once, which is worth it for large ones.
+    returned DataFrame still reads goes when the program ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lensmill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop_quietly, spark, path)
-    schema = df.schema
-    if free:
-        del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path), path
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -77,15 +73,43 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def crc_of(key: Column | str) -> Column:
     """crc32 of a key as text; a null key counts as empty text."""
-    return F.crc32(F.coalesce(F.col(key) if isinstance(key, str) else key, F.lit("")).cast("string"))
+    return F.crc32(F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit("")))
 
 
 def free_name(df: DataFrame, name: str) -> str:
     """name, or a variant of it that df does not have yet."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+    return free_names(df, name)[0]
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, or variants of them that df does not have yet, all different."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(rows: DataFrame, keys: list[str], number: str) -> tuple[DataFrame, str]:
+    """rows with ``number``, from 0 without gaps within each key; and the path of their table.
+
+    For keys that may have any share of the rows. They are written once with the task that wrote
+    them; each task's rows of a key are numbered for themselves, after those of the tasks before.
+    """
+    part, first, before, *of = free_names(rows, "part", "first", "before", *(f"of_{k}" for k in keys), number)[:-1]
+    rows, path = written(rows.withColumn(part, F.spark_partition_id()), "numbered")
+    counts = rows.groupBy(*keys, part).agg(F.count("*").alias(before))
+    ahead = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn(first, F.coalesce(F.sum(before).over(ahead), F.lit(0))).drop(before)
+    counts = counts.toDF(*of, f"of_{part}", first)
+    same = F.col(part) == F.col(f"of_{part}")
+    for key, other in zip(keys, of, strict=True):
+        same = same & F.col(key).eqNullSafe(F.col(other))
+    inside = Window.partitionBy(*keys, part).orderBy(F.lit(0))
+    out = rows.withColumn(number, F.row_number().over(inside) - 1).join(counts, same)
+    return out.withColumn(number, F.col(number) + F.col(first)).drop(part, first, f"of_{part}", *of), path
 
 
 class WordHashes(dict):
@@ -117,9 +141,45 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cases A-Z and splits at the six ASCII white-space characters: just what bytes do."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+#: Bytes of a text that are hashed together, and bytes of the longest word that is hashed with others.
+PIECE, LONGEST = 1 << 15, 255
+_BLANK = np.zeros(256, bool)
+_BLANK[[ord(c) for c in SPACES]] = True
+with np.errstate(over="ignore"):
+    _LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _POWERS, _INVERSE = (np.cumprod(np.array([1] + [x] * (PIECE + LONGEST), np.uint64), dtype=np.uint64) for x in (0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words: runs of anything but six white-space characters, A-Z in lower case.
+
+    A word's hash is a polynomial of its letters' random numbers, from running sums over the text;
+    for words of over LONGEST bytes it is xxhash64.
+    """
+    if not text:
+        return np.zeros(0, np.uint64)
+    raw = text.encode("utf-8", "surrogatepass").lower()
+    a = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(a) + 2, bool)
+    np.logical_not(_BLANK[a], out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    size = ends - starts
+    out, at = np.zeros(len(starts), np.uint64), 0
+    with np.errstate(over="ignore"):
+        while at < len(starts):
+            base = starts[at]
+            to = int(np.searchsorted(starts, base + PIECE)) if len(a) > PIECE else len(starts)
+            last = starts[to - 1] + min(size[to - 1], LONGEST)
+            sums = np.zeros(last - base + 1, np.uint64)
+            np.cumsum(_LETTERS[a[base:last]] * _POWERS[: last - base], out=sums[1:])
+            first = starts[at:to] - base
+            out[at:to] = (sums[np.minimum(ends[at:to] - base, last - base)] - sums[first]) * _INVERSE[first]
+            at = to
+        out = mix(out + size.astype(np.uint64))
+    for i in np.flatnonzero(size > LONGEST).tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]])
+    return out
 
 
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -131,9 +191,14 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = np.full(count - width + 1, np.uint64(width), np.uint64)
         for i in range(width):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[i : count - width + 1 + i]
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += hashes[i : count - width + 1 + i]
             h ^= h >> np.uint64(29)
-    return np.unique(mix(h))
+    h = mix(h)
+    h.sort()
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
 
 
 def batches(rows: Iterable[list], schema: pa.Schema, size: int = 500, most_bytes: int = 16 << 20):

@@ -31,6 +31,8 @@ size; a node's number is the first half of these.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -78,6 +80,11 @@ def bands(largest: int, ratio: float) -> list[tuple[int, int]]:
 BANDS = bands(1 << 40, 1.5)
 
 
+def band_of(size: int) -> int:
+    """Index of the band with sets of this size."""
+    return bisect.bisect_right(BANDS, (size, math.inf)) - 1
+
+
 def too_few(tries: int, chance: float, most: int) -> float:
     """The chance of at most ``most`` successes; from 60 tries on by the normal approximation."""
     if most < 0 or tries <= most:
@@ -120,8 +127,8 @@ def schemes(sizes: dict[int, int], num: int, den: int) -> list[Scheme]:
     return out
 
 
-def sign(sets: np.ndarray, scheme: Scheme, number: int) -> np.ndarray:
-    """The signatures of one set under one scheme.
+def sign(sets: np.ndarray, scheme: Scheme, number: int, mixed: np.ndarray | None = None) -> np.ndarray:
+    """The signatures of one set (sorted) under one scheme; mixed: mixed_of() the set.
 
     At most H segments differ in a linked pair, by weight. So where a set's own segments (those
     of weight 1 that hold something, and all of weight 2) weigh more than H, one of them matches
@@ -129,26 +136,39 @@ def sign(sets: np.ndarray, scheme: Scheme, number: int) -> np.ndarray:
     Empty segments of weight 1 are signed only by sets without that much.
     """
     units = scheme.single + 2 * scheme.double
-    unit = ((sets >> np.uint64(32)) * np.uint64(units) >> np.uint64(32)).astype(np.int64)
-    segment = np.where(unit < scheme.single, unit, scheme.single + (unit - scheme.single) // 2)
-    order = np.argsort(segment, kind="stable")
     total = scheme.single + scheme.double
+    segment = ((sets >> np.uint64(32)) * np.uint64(units) >> np.uint64(32)).astype(np.int64)  # ascending, as sets
+    if scheme.double:
+        segment = np.where(segment < scheme.single, segment, scheme.single + (segment - scheme.single) // 2)
     size = np.bincount(segment, minlength=total)
     ends = np.cumsum(size)
     with np.errstate(over="ignore"):
-        mixed = common.mix(sets[order] + np.uint64(0x51ED270B))
-        summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
+        mixed = mixed_of(sets) if mixed is None else mixed
+        summed = np.zeros(len(sets) + 1, np.uint64)
+        np.cumsum(mixed, out=summed[1:])
         sums = summed[ends] - summed[ends - size]
-        salt = np.arange(total, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(number + 1) * np.uint64(0xD1B54A32D192ED03)
-        whole = common.mix(sums ^ common.mix(salt))
+        salt = salts(total, number)
+        whole = common.mix(sums ^ salt)
         if np.count_nonzero(size[: scheme.single]) + 2 * scheme.double > scheme.differ:
             size[scheme.single :] += 1
             whole = whole[size > 0]
         if not scheme.double:
             return whole
-        long = segment[order] >= scheme.single
-        at = segment[order][long]
-        return np.unique(np.concatenate([whole, common.mix((sums[at] - mixed[long]) ^ common.mix(salt[at]))]))
+        long = segment >= scheme.single
+        at = segment[long]
+        return np.unique(np.concatenate([whole, common.mix((sums[at] - mixed[long]) ^ salt[at])]))
+
+
+@functools.cache
+def salts(segments: int, number: int) -> np.ndarray:
+    """What tells the segments of all schemes apart."""
+    with np.errstate(over="ignore"):
+        return common.mix(np.arange(segments, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(number + 1) * np.uint64(0xD1B54A32D192ED03))
+
+
+def mixed_of(sets: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return common.mix(sets + np.uint64(0x51ED270B))
 
 
 def sketch(sets: np.ndarray, cells: int) -> np.ndarray:
@@ -345,20 +365,25 @@ def jaccard_tables(docs: DataFrame, id_col: str, text_col: str, words: int, num:
     source = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("t"), text.alias("text"))
     id_type = source.schema["doc"].dataType
 
-    # Documents by band, for the cost model: white space and one are no less than words.
-    most = F.length("text") - F.length(F.translate("text", common.SPACES, "")) + 1
-    band = F.size(F.filter(F.array(*[F.lit(lo) for lo, _ in BANDS]), lambda x: x <= most)) - 1
-    by_band = source.filter("text is not null").groupBy(band.alias("band")).agg(F.count("*").alias("sets")).collect()  # a row a band
-    plan = schemes({r["band"]: r["sets"] for r in by_band}, num, den)
+    # Documents by size for the cost model, by steps of a tenth of the number of blanks; no text has
+    # more words than half its bytes.
+    step = F.floor(F.log(F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1) / math.log(1.1))
+    counted = source.filter("text is not null").groupBy(step.alias("step")).agg(F.count("*").alias("sets"), F.max(F.octet_length("text")).alias("bytes")).collect()
+    by_band = {band_of(max((r["bytes"] for r in counted), default=0) // 2 + 1): 0}
+    for r in counted:
+        i = band_of(int(1.1 ** (r["step"] + 0.5)))
+        by_band[i] = by_band.get(i, 0) + r["sets"]
+    plan = schemes(by_band, num, den)
     fits = np.array([(p.least, p.hi) for p in plan]).reshape(-1, 2)
 
     def signed(it):
-        hashes, seen = common.WordHashes(), set()
+        seen = set()
 
         def rows(batch):
             for doc, t, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-                s = common.shingles(hashes.of(common.words_of(text.as_py())), words)
-                d1, d2 = digest(s)
+                s = common.shingles(common.word_hashes(text.as_py()), words)
+                mixed = mixed_of(s)
+                d1, d2 = digest(mixed)
                 row = [doc.as_py(), t.as_py(), len(s), d1, d2, None, None]
                 if len(s) and (d1, d2) not in seen:
                     seen.clear() if len(seen) >= SEEN_CLASSES else None
@@ -366,7 +391,7 @@ def jaccard_tables(docs: DataFrame, id_col: str, text_col: str, words: int, num:
                     mine = np.flatnonzero((fits[:, 0] <= len(s)) & (fits[:, 1] >= len(s))).tolist()
                     if mine:
                         row[5] = sketch(s, max(plan[i].cells for i in mine)).tobytes()
-                        row[6] = np.concatenate([sign(s, plan[i], i) for i in mine]).view(np.int64)
+                        row[6] = np.concatenate([sign(s, plan[i], i, mixed) for i in mine]).view(np.int64)
                 yield row
 
         for batch in it:
@@ -410,14 +435,14 @@ def jaccard_tables(docs: DataFrame, id_col: str, text_col: str, words: int, num:
     carried_schema = pa.schema([("key", pa.int64()), ("blocks", pa.int32()), ("node", pa.int64()), ("n", pa.int64()), ("copies", pa.int64()), ("carried", pa.binary())])
 
     def carried(it):
-        hashes, seen = common.WordHashes(), set()
+        seen = set()
 
         def rows(batch):
             for key, blocks, node, n, d1, d2, copies, text in zip(*(batch.column(c) for c in ("key", "blocks", "node", "n", "d1", "d2", "copies", "text")), strict=True):
                 if (k := node.as_py()) in seen:
                     continue
-                s = common.shingles(hashes.of(common.words_of(text.as_py())), words)
-                if (len(s), *digest(s)) == (n.as_py(), d1.as_py(), d2.as_py()):
+                s = common.shingles(common.word_hashes(text.as_py()), words)
+                if (len(s), *digest(mixed_of(s))) == (n.as_py(), d1.as_py(), d2.as_py()):
                     seen.clear() if len(seen) >= SEEN_CLASSES else None
                     seen.add(k)
                     yield [key.as_py(), blocks.as_py(), k, len(s), copies.as_py(), s.tobytes()]
@@ -490,11 +515,11 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     return docs.join(by_key, fits, "left_anti").unionByName(once)
 
 
-def digest(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, as two signed numbers."""
+def digest(mixed: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set from mixed_of() it, as two signed numbers."""
     with np.errstate(over="ignore"):
-        a = common.mix(s + np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)
-        b = common.mix(s ^ np.uint64(0xE7037ED1A0B428DB)).sum(dtype=np.uint64)
+        a = mixed.sum(dtype=np.uint64)
+        b = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
