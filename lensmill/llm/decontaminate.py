@@ -32,16 +32,21 @@ from pyspark.sql.types import IntegerType, StructType
 from lensmill.llm import common
 
 BLOCK_WORDS = 500_000
-#: Fingerprints may differ in all bits: a smaller radius loses windows that reach the similarity.
-RADIUS = 64
 #: Sums in another order differ by less.
 ROUNDING = 1e-9
+#: Letters of scripts without spaces between words (Thai to Myanmar, Khmer, kana, ideographs): each is a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNSPACED_LETTER = re.compile(f"[{UNSPACED}]")
 TOKEN = re.compile(r"\w+")
+UNSPACED_TOKEN = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
 
 
 def tokens(text: str | None) -> list[str]:
     """Words in lower case without punctuation."""
-    return TOKEN.findall(text.lower()) if text else []
+    if not text:
+        return []
+    low = text.lower()
+    return (TOKEN if low.isascii() or not UNSPACED_LETTER.search(low) else UNSPACED_TOKEN).findall(low)
 
 
 def hashed(words: list[str], hashes: common.WordHashes) -> np.ndarray:
@@ -77,12 +82,15 @@ class Items:
     def __init__(self, items: list[tuple[int, str]], words: int):
         hashes = common.WordHashes()
         said = [(k, tokens(text)) for k, text in items]
-        kept = [(k, hashed(w, hashes)) for k, w in said if len(w) >= words]
+        kept = [(k, hashed(w, hashes)) for k, w in said if w]
         #: Hashes of the words of the items; no other word can be in a shared shingle.
-        self.known = {w: hashes[w.encode("utf-8", "surrogatepass")] for _, each in said if len(each) >= words for w in each}
-        self.words, self.ids = words, [k for k, _ in kept]
+        self.known = {w: hashes[w.encode("utf-8", "surrogatepass")] for _, each in said for w in each}
+        self.ids = [k for k, _ in kept]
         self.lengths = np.array([len(h) for _, h in kept], np.int64)
-        self.sets = [np.unique(grams(h, words)) for _, h in kept]
+        #: Words of an item's shingles: fewer where the item has fewer.
+        self.widths = np.minimum(self.lengths, words)
+        self.sets = [np.unique(grams(h, int(n))) for (_, h), n in zip(kept, self.widths, strict=True)]
+        self.each_width = sorted(set(self.widths.tolist()))
         self.vocabulary = np.unique(np.concatenate([*self.sets, np.zeros(0, np.uint64)]))
         self.prints = fingerprints(np.stack([signs(h).sum(axis=0) for _, h in kept])) if kept else np.zeros(0, np.uint64)
         #: The items that have each shingle of the vocabulary, one after the other.
@@ -112,33 +120,32 @@ class Items:
 
     def hits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """First words of the text's shingles that an item has, and these shingles' places in the vocabulary."""
-        none = np.zeros(0, np.int64)
         h = np.fromiter(map(self.known.get, words, repeat(0)), np.uint64, len(words))
         inside = h != 0
-        whole = np.flatnonzero(inside)
-        if len(whole) < self.words:
-            return none, none
         ends = np.concatenate([[0], np.cumsum(inside)])
-        at = np.flatnonzero(ends[self.words :] - ends[: -self.words] == self.words)
-        if not len(at):
-            return none, none
-        g = np.zeros(len(at), np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(self.words):  # as grams() does, only at these places
-                g = g * np.uint64(0x9E3779B97F4A7C15) + h[at + i]
-                g ^= g >> np.uint64(31)
-        found = self.places(common.mix(g))
-        return at[found >= 0], found[found >= 0]
+        firsts, shared = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n in self.each_width if ends[-1] else ():
+            at = np.flatnonzero(ends[n:] - ends[:-n] == n)
+            if len(at):
+                g = np.zeros(len(at), np.uint64)
+                with np.errstate(over="ignore"):
+                    for i in range(n):  # as grams() does, only at these places
+                        g = g * np.uint64(0x9E3779B97F4A7C15) + h[at + i]
+                        g ^= g >> np.uint64(31)
+                found = self.places(common.mix(g))
+                firsts.append(at[found >= 0])
+                shared.append(found[found >= 0])
+        if len(firsts) < 3:
+            return firsts[-1], shared[-1]
+        at = np.concatenate(firsts)
+        order = np.argsort(at, kind="stable")
+        return at[order], np.concatenate(shared)[order]
 
     def similarity(self, shingled: np.ndarray, item: int) -> float:
         """Share of the item's shingle weight that is among these shingles."""
         w = self.weights[np.searchsorted(self.vocabulary, self.sets[item])]
         return float(w[np.isin(self.sets[item], shingled)].sum() / w.sum())
 
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs within RADIUS: all of them, by direct comparison."""
-        return np.nonzero(np.bitwise_count(prints[:, None] ^ self.prints[None, :]) <= RADIUS)
-
     def matches(self, text: str | None, least: float, known: common.WordHashes) -> dict[int, tuple[float, int, int]]:
         """The best window of each item that reaches ``least``: similarity, first word, distance."""
         words = tokens(text)
@@ -156,7 +163,7 @@ class Items:
             mine = self.places(self.sets[k])
             held = np.isin(places, mine)
             first, place = at[held], places[held]
-            size, span = int(self.lengths[k]), int(self.lengths[k]) - self.words
+            size, span = int(self.lengths[k]), int(self.lengths[k] - self.widths[k])
             # A window changes where a shingle enters or leaves it; of equal windows the first counts.
             starts = np.unique(np.clip(np.concatenate([first - span, first + 1, [0]]), 0, max(len(words) - size, 0)))
             lo, hi = np.searchsorted(first, starts), np.searchsorted(first, starts + span, "right")
@@ -240,9 +247,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     shingle weight), first_word (the best window's place; the first of equal ones), n_words (of the
     item; a shorter text is one window) and distance (bits by which the fingerprints differ). Letter case and punctuation do not count.
 
-    Whole texts are read. Null and empty texts hold nothing; items that are null or have fewer
-    words than a shingle match nothing, so without usable items the result is empty. Items with the same text are all reported. Repeated
-    documents are reported as often as they occur, null ids included.
+    Words are runs of letters, digits and underscores; in scripts without spaces each letter is a
+    word. An item of fewer words than a shingle is one shingle: it is found where all its words
+    stand in a row. Whole texts are read. Null and empty texts hold nothing; items that are null
+    or without words match nothing, so without usable items the result is empty. Items with the
+    same text are all reported. Repeated documents are reported as often as they occur, null ids
+    included. Other columns are not read.
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id].dataType
     schema = f"`{id_col}` {kind}, item_id {item_kind.simpleString()}, similarity double, first_word long, n_words long, distance long"
@@ -268,7 +278,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """docs without the rows in which find_leaks() finds an item; all columns and other rows stay."""
+    """docs without the rows in which find_leaks() finds an item.
+
+    All columns and all other rows stay, null and empty texts, repeated rows and columns of any
+    name among them. Without items all of docs stays. Empty in, empty out.
+    """
     # All blocks weigh by the same documents, so weights do not depend on how items fall into blocks.
     indexes = [first_pass(docs, Items(block, words), text_col, None)[0] for block in item_blocks(benchmark, item_id, item_text)]
     for sent in indexes:
