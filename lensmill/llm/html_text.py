@@ -7,14 +7,16 @@ that varies and texts that few pages share make a branch important, the same few
 after page make it noise. Each page then loses its branches of low importance.
 
 Two kinds of branches are decided by what their tags or names say, whatever the entropy: menus,
-footers, sidebars, notices, adverts, forms, scripts, styles and comments go; the element that is
-marked as the article stays, and the tree decides on the branches in it. Where the article's own
-branch is of low importance (a host with many copies of one article), or a host has too few pages
-for an entropy, markup alone decides.
+footers, sidebars, notices, adverts, forms, scripts, styles and comments go, for texts that differ
+from page to page are no less noise there; the element that is marked as the article stays, and
+the tree decides on the branches in it. In the article only names that say nothing but noise
+count. Where the article's own branch is of low importance (a host with many copies of one
+article), markup alone decides. A branch of few pages is important until more pages say
+otherwise: its importance is weighed against PRIOR_PAGES pages of importance 1.
 
 The tree is never held anywhere: it is a table of (host, path) with sums, built by two grouped
 sums with partial aggregation, so a host with a third of all pages is as cheap as many small ones.
-Back on the pages travels only the list of a host's noisy branches that hold at least MIN_PAGES.
+The branches of low importance go to the tasks once, while there are few of them.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lensmill.llm import common, url_filter
 
-#: Pages that a branch needs before its entropy counts, and the importance below which it goes.
-MIN_PAGES = 8
+#: Pages of importance 1 that a branch is given beforehand, and the importance below which it goes.
+PRIOR_PAGES = 4
 LEAST_IMPORTANCE = 0.4
 #: How much a branch's own presentation counts against its contents.
 PRESENTATION = 0.1
@@ -52,6 +54,7 @@ NOISE_NAMES = frozenset(
     disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion
     recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget""".split()
 )
+PLAIN_NAMES = frozenset("area bar block body bottom box btn button buttons col column container group holder inner item items left link links list module outer panel right row section thread top wrap wrapper".split())
 MAIN_NAMES = frozenset("article articlebody content entry maincontent post postbody story".split())
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
@@ -89,11 +92,16 @@ def words_of(name: str) -> list[str]:
     return [n.lower() for n in NAME.findall(name)]
 
 
-def noise_named(given: dict[str, str]) -> int:
-    """How far class and id name noise: 0 not, 1 with a word of some, 2 with all of one or some of each."""
+def noise_named(given: dict[str, str], inside: bool) -> int:
+    """How far class and id name noise: 0 not, 1 with a word of some, 2 with all of one or some of each.
+
+    All of a name is words of noise, or with such a word plain ones. Inside an article no less counts.
+    """
     said = [w for w in map(words_of, f"{given.get('class', '')} {given.get('id', '')}".split()) if w]
     some = [not NOISE_NAMES.isdisjoint(w) for w in said]
-    return 2 if some and (all(some) or any(NOISE_NAMES.issuperset(w) for w in said)) else int(any(some))
+    if any(x and all(y in NOISE_NAMES or y in PLAIN_NAMES for y in w) for x, w in zip(some, said, strict=True)):
+        return 2
+    return 0 if inside else 2 if some and all(some) else int(any(some))
 
 
 def marked(tag: str, given: dict[str, str], parent: Node | None) -> tuple[str, bool, int, int]:
@@ -103,7 +111,7 @@ def marked(tag: str, given: dict[str, str], parent: Node | None) -> tuple[str, b
     if given.get("itemprop", "").lower() == "articlebody":
         rank = 3
     noise = tag in NOISE_TAGS or given.get("role", "").lower() in NOISE_ROLES or "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true"
-    named = noise_named(given) if names and tag not in ("html", "body", "main") else 0
+    named = noise_named(given, parent is not None and parent.inside >= 2) if names and tag not in ("html", "body", "main") else 0
     if tag == "header" and not (parent and parent.inside >= 2):
         noise = True
     if not rank and not noise and named < 2 and (not MAIN_NAMES.isdisjoint(names) or "".join(names) in MAIN_NAMES) and tag in ("div", "section", "td"):
@@ -291,11 +299,13 @@ def style_tree(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
 
     source = pages.select(url_filter.host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     rows = source.mapInArrow(told, "host string, path long, kind int, value long, branch array<long>")
+    # Written once: pages are not parsed again for each of its two uses.
     values = rows.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("k"), F.first("branch").alias("branch"))
     k = F.col("k").cast("double")
     places = values.groupBy("host", "path", "kind").agg(
         F.count("*").alias("values"), F.sum("k").alias("pages"), F.sum(F.log(k)).alias("logs"), F.sum(k * F.log(k)).alias("klogs"), F.first("branch").alias("branch")
     )
+    places, _ = common.written(places, "places")
     own = places.filter("kind = 0").select("host", "path", "pages", (F.when(F.col("pages") > 1, (F.log("pages") - F.col("klogs") / F.col("pages")) / F.log("pages")).otherwise(1.0)).alias("entropy"))
     texts = places.filter("kind = 1").select("host", "values", "logs", F.explode("branch").alias("path"))
     texts = texts.groupBy("host", "path").agg(F.sum("values").alias("values"), F.sum("logs").alias("logs"))
@@ -313,28 +323,39 @@ def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", t
     replace columns of pages that have their names; the others stay. Empty in, empty out.
     """
     pages = pages.drop(*[c for c in (text_col, "n_chars") if c not in (url_col, html_col)])
-    low = style_tree(pages, url_col=url_col, html_col=html_col).filter((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
-    # One row per host that has noisy branches; each held at least MIN_PAGES pages.
-    noisy, _ = common.written(low.groupBy("host").agg(F.collect_list("path").alias("noisy_")), "noisy")
-    branches = noisy.agg(F.coalesce(F.sum(F.size("noisy_")), F.lit(0))).first()[0]
-    # A plain table: broadcast while it is small, else pages of a hot host can be split over tasks.
-    noisy = common.small(noisy, branches)
-    host = common.free_name(pages, "host_")
-    joined = pages.withColumn(host, url_filter.host_of(F.col(url_col))).join(noisy.withColumnRenamed("host", "of_"), F.col(host) == F.col("of_"), "left")
-    kept = pages.columns
-    joined = joined.select(*kept, "noisy_")
+    spark, kept = pages.sparkSession, pages.columns
+    weight = F.col("pages") / (F.col("pages") + PRIOR_PAGES)
+    low = style_tree(pages, url_col=url_col, html_col=html_col).filter(1 - (1 - F.col("importance")) * weight < LEAST_IMPORTANCE)
+    low, low_path = common.written(low.select("host", "path"), "noisy")
+    known, host, of, noisy = None, *common.free_names(pages, "host_", "of_", "noisy_")
+    joined = pages.withColumn(host, url_filter.host_of(F.col(url_col)))
+    if low.count() <= common.BROADCAST_ROWS:
+        by: dict[str, list[int]] = {}
+        for r in low.collect():
+            by.setdefault(r["host"], []).append(r["path"])
+        known = spark.sparkContext.broadcast({k: frozenset(v) for k, v in by.items()})
+        common.drop(spark, low_path)
+    else:  # a plain join: pages of a hot host can be split over tasks
+        lists = low.groupBy(F.col("host").alias(of)).agg(F.collect_list("path").alias(noisy))
+        joined = joined.join(lists, F.col(host) == F.col(of), "left").drop(of)
 
     def extracted(it):
         sets: dict[bytes, frozenset[int]] = {}
-        for batch in it:
-            out = []
-            for page, paths in zip(batch.column(html_col), batch.column("noisy_"), strict=True):
+        none = frozenset()
+
+        def noise_of(batch):
+            if known is not None:
+                yield from (known.value.get(h, none) for h in batch.column(host).to_pylist())
+                return
+            for paths in batch.column(noisy):
                 given = paths.values.to_numpy() if paths.is_valid else np.zeros(0, np.int64)
-                key = given.tobytes()
-                if key not in sets:
+                if (key := given.tobytes()) not in sets:
                     sets.clear() if len(sets) > 100 else None
                     sets[key] = frozenset(given.tolist())
-                out.append(main_text(page.as_py() or "", sets[key]))
+                yield sets[key]
+
+        for batch in it:
+            out = [main_text(page.as_py() or "", noise) for page, noise in zip(batch.column(html_col), noise_of(batch), strict=True)]
             columns = [batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=[*kept, text_col, "n_chars"])
 
