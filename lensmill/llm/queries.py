@@ -133,7 +133,7 @@ def op4_benchmark_leaks(spark, sf):
 @query()
 def op5_tiff_payloads(spark, sf):
     files = tiff.payload_files(table(spark, sf, "documents").select("doc_id", "text"))
-    return tiff.read_pages(files).select(
+    return tiff.joined_pages(tiff.read_pages(files), ["doc_id", "n_bytes", "media"]).select(
         "doc_id",
         "n_bytes",
         F.octet_length("samples").cast("long").alias("payload_bytes"),

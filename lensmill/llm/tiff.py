@@ -25,8 +25,6 @@ LETTERS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13:
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
 PLANAR, PREDICTOR, COLORS, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS, FORMAT, FILL_ORDER = 284, 317, 320, 322, 323, 324, 325, 339, 266
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
-#: Bytes that the samples of one page may have; a larger page is an error, not a crash.
-MOST_BYTES = 1 << 29
 
 
 class TiffError(ValueError):
@@ -93,13 +91,13 @@ def code_widths(most: int = 4094 - 257) -> np.ndarray:
 
 LZW_WIDTHS = code_widths()
 LZW_ENDS = np.cumsum(LZW_WIDTHS)
+LZW_FIRST = [bytes([i]) for i in range(256)] + [b"", b""]
 
 
 def unpack_lzw(data: bytes, size: int) -> bytes:
     """LZW as in TIFF 6.0 (high bits first, widths change one code early), up to ``size`` bytes."""
     padded = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.uint32)
     total, at, have, out = len(data) * 8, 0, 0, []
-    first = [bytes([i]) for i in range(256)] + [b"", b""]
     while at + 9 <= total and have < size:
         fits = int(np.searchsorted(LZW_ENDS, total - at, "right"))
         starts = at + LZW_ENDS[:fits] - LZW_WIDTHS[:fits]
@@ -108,22 +106,20 @@ def unpack_lzw(data: bytes, size: int) -> bytes:
         codes = (word >> (24 - (starts & 7) - LZW_WIDTHS[:fits]).astype(np.uint32)) & ((1 << LZW_WIDTHS[:fits]) - 1).astype(np.uint32)
         stop = np.flatnonzero((codes == 256) | (codes == 257))
         end = int(stop[0]) if len(stop) else fits
-        table, before = list(first), b""
+        table, before, entries, done = list(LZW_FIRST), b"", 258, len(out)
         for code in codes[:end].tolist():
-            if code < len(table):
+            if code < entries:
                 entry = table[code]
-                if before:
-                    table.append(before + entry[:1])
-            elif code == len(table) and before:
+            elif code == entries and before:
                 entry = before + before[:1]
-                table.append(entry)
             else:
                 raise TiffError("LZW code out of range")
+            if before:
+                table.append(before + entry[:1])
+                entries += 1
             out.append(entry)
-            have += len(entry)
             before = entry
-            if have >= size:
-                break
+        have += sum(map(len, out[done:]))
         if end >= fits or codes[end] == 257:
             break
         at += int(LZW_ENDS[end])
@@ -132,41 +128,33 @@ def unpack_lzw(data: bytes, size: int) -> bytes:
 
 def pack_lzw(data: bytes) -> bytes:
     """LZW as unpack_lzw() reads it."""
-    codes, widths = [256], [9]
-    table, n, before = {}, 0, -1
-    entries = 258
-    for byte in data:
-        if before < 0:
+    codes, clears = [256], [0]
+    if data:
+        table, entries, before = {}, 258, data[0]
+        for byte in memoryview(data)[1:]:
+            key = before << 8 | byte
+            if key in table:
+                before = table[key]
+                continue
+            codes.append(before)
+            table[key] = entries
+            entries += 1
             before = byte
-            continue
-        key = before << 8 | byte
-        if key in table:
-            before = table[key]
-            continue
-        codes.append(before)
-        widths.append(int(LZW_WIDTHS[n]))
-        n += 1
-        table[key] = entries
-        entries += 1
-        before = byte
-        if entries >= 4094:
-            codes.append(256)
-            widths.append(int(LZW_WIDTHS[n]))
-            table, n, entries = {}, 0, 258
-            # The byte that waits starts afresh.
-    if before >= 0:
+            if entries >= 4094:
+                clears.append(len(codes))
+                codes.append(256)
+                table, entries = {}, 258
         codes.append(before)
-        widths.append(int(LZW_WIDTHS[n]))
-        n += 1
     codes.append(257)
-    widths.append(int(LZW_WIDTHS[min(n, len(LZW_WIDTHS) - 1)]))
-    c, w = np.array(codes, np.int64), np.array(widths, np.int64)
+    c, places = np.array(codes, np.int64), np.arange(len(codes))
+    since = places - 1 - np.array(clears)[np.searchsorted(clears, places) - 1]  # codes after the last clear code
+    w = np.where(places, LZW_WIDTHS[np.maximum(since, 0)], 9)
     bits = ((c[:, None] >> np.arange(11, -1, -1)) & 1).astype(np.uint8)
     return np.packbits(bits[np.arange(12)[None, :] >= 12 - w[:, None]]).tobytes()
 
 
 def unpacked(data: bytes, compression: int, size: int) -> bytes:
-    """A strip or tile of ``size`` bytes; what is missing at its end is zero."""
+    """A strip or tile of ``size`` bytes; one that holds less is an error."""
     if compression == NONE:
         out = data[:size]
     elif compression == PACKBITS:
@@ -180,7 +168,9 @@ def unpacked(data: bytes, compression: int, size: int) -> bytes:
             raise TiffError(f"deflate: {e}") from None
     else:
         raise TiffError(f"compression {compression} is not supported")
-    return out + bytes(size - len(out))
+    if len(out) < size:
+        raise TiffError(f"a strip or tile has {len(out)} of {size} bytes")
+    return out
 
 
 def packed(data: bytes, compression: int, row: int) -> bytes:
@@ -194,10 +184,10 @@ def packed(data: bytes, compression: int, row: int) -> bytes:
 
 
 class Reader:
-    """The image directories of one file."""
+    """The image directories of one file. A page with more than ``most_bytes`` of samples is an error."""
 
-    def __init__(self, data: bytes):
-        self.data = data
+    def __init__(self, data: bytes, most_bytes: int = 1 << 29):
+        self.data, self.most_bytes = data, most_bytes
         if data[:2] not in (b"II", b"MM"):
             raise TiffError("not a TIFF file")
         self.order = "<" if data[:2] == b"II" else ">"
@@ -245,21 +235,27 @@ class Reader:
             yield self.page(tags)
 
     def page(self, tags: dict[int, tuple]) -> Page:
-        one = lambda tag, default: tags.get(tag, (default,))[0]
+        def many(tag: int, default: tuple = ()) -> tuple:
+            values = tags.get(tag) or default
+            if any(not isinstance(v, int) or v < 0 for v in values):
+                raise TiffError(f"tag {tag} has other than whole numbers from 0")
+            return values
+
+        one = lambda tag, default: many(tag, (default,))[0]
         width, height, samples = one(WIDTH, 0), one(LENGTH, 0), one(SAMPLES, 1)
-        depth, compression, predictor, separate = tags.get(BITS, (1,)), one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1) == 2
+        depth, compression, predictor, separate = many(BITS, (1,)), one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1) == 2
         bits = depth[0]
         if len(set(depth)) > 1 or bits not in (1, 2, 4, 8, 16, 32, 64):
-            raise TiffError(f"{depth} bits a sample are not supported")
+            raise TiffError(f"{depth[:8]} bits a sample are not supported")
         if one(FILL_ORDER, 1) != 1:
             raise TiffError("fill order 2 is not supported")
-        if not width or not height or not samples or samples * ((width * bits + 7) // 8) * height > MOST_BYTES:
+        if not width or not height or not samples or samples * width * height * max(bits, 8) > 8 * self.most_bytes:
             raise TiffError(f"a page of {width} x {height} x {samples}")
         tiled = TILE_OFFSETS in tags
         wide, high = (one(TILE_WIDTH, 0), one(TILE_LENGTH, 0)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
-        if not wide or not high or wide * high * samples * bits > 8 * MOST_BYTES:
+        if not wide or not high or wide * high * samples * max(bits, 8) > 8 * self.most_bytes:
             raise TiffError("tiles or strips without extent, or too large")
-        offsets, counts = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), tags.get(TILE_COUNTS if tiled else STRIP_COUNTS, ())
+        offsets, counts = many(TILE_OFFSETS if tiled else STRIP_OFFSETS), many(TILE_COUNTS if tiled else STRIP_COUNTS)
         across, down, planes = -(-width // wide), -(-height // high), samples if separate else 1
         if min(len(offsets), len(counts)) < across * down * planes:
             raise TiffError("strips or tiles are missing")
@@ -300,17 +296,17 @@ class Reader:
         return block
 
 
-def write(pages: list[np.ndarray], *, compression: int = DEFLATE, predictor: int = 1, rows: int = 64, tile: int = 0, order: str = "<") -> bytes:
+def write(pages: list[np.ndarray], *, compression: int = DEFLATE, predictor: int = 1, rows: int = 64, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
     """A classic file of arrays (height, width, samples) of unsigned numbers, one page each.
 
-    Strips of ``rows`` rows, or square tiles with sides of ``tile`` (a multiple of 16) if given.
+    Strips of ``rows`` rows, or tiles of the width and height ``tile`` (multiples of 16) if given.
     """
     out = [b"II" if order == "<" else b"MM", struct.pack(order + "H", 42), b"\0\0\0\0"]
     at, link = 8, 4
     for page in pages:
         height, width, samples = page.shape
         bits = page.dtype.itemsize * 8
-        wide, high = (tile, tile) if tile else (width, min(rows, height))
+        wide, high = tile or (width, min(rows, height))
         offsets, counts = [], []
         for y in range(0, height, high):
             for x in range(0, width, wide):
@@ -372,30 +368,36 @@ PAGE_FIELDS = [
 ]
 
 
-def read_pages(files: DataFrame, *, media_col: str = "media") -> DataFrame:
+KINDS = {IntegerType: pa.int32(), BinaryType: pa.binary(), StringType: pa.string()}
+
+
+def read_pages(files: DataFrame, *, media_col: str = "media", most_bytes: int = 1 << 29) -> DataFrame:
     """One row per page: the columns of files, then page, width, height and the other PAGE_FIELDS.
 
     page counts from 0. samples holds rows of interleaved samples in little-endian order, one
     byte each below 8 bits. A file that is null or empty, or no file of this format, gives one
-    row with an error and no page; pages before a broken one are given, then one row with an
-    error. Columns of files that have the names of new ones are replaced. Repeated rows are read
-    each. Empty in, empty out.
+    row with an error; pages before a broken one are given, then one row with the broken page's
+    number and an error. So is a page whose strips or tiles end early, or with more than
+    ``most_bytes`` of samples. A file's rows follow one another, in the order of files. Columns of
+    files that have the names of new ones are replaced. Repeated rows are read each. Empty in,
+    empty out.
     """
     names = {f.name for f in PAGE_FIELDS} - {media_col}
     files = files.drop(*names)
     fields = [f for f in PAGE_FIELDS if f.name in names]
-    kinds = {IntegerType: pa.int32(), BinaryType: pa.binary(), StringType: pa.string()}
     kept = files.schema.fields
 
     def rows(data: bytes | None):
         if not data:
-            yield [None] * 11 + ["no media"]
+            yield [0, *[None] * 10, "no media"]
             return
+        i = 0
         try:
-            for i, p in enumerate(Reader(data).pages()):
+            for p in Reader(data, most_bytes).pages():
                 yield [i, p.width, p.height, p.samples, p.bits, p.format, p.photometric, p.compression, p.predictor, p.data, feature(p), None]
+                i += 1
         except TiffError as e:
-            yield [None] * 11 + [str(e)]
+            yield [i, *[None] * 10, str(e)]
 
     def read(it):
         for batch in it:
@@ -403,15 +405,15 @@ def read_pages(files: DataFrame, *, media_col: str = "media") -> DataFrame:
 
             def flush(batch=batch):
                 columns = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(kept))]
-                new = [pa.array(c, kinds[type(f.dataType)]) for c, f in zip(zip(*made, strict=True), PAGE_FIELDS, strict=True) if f.name in names]
+                new = [pa.array(c, KINDS[type(f.dataType)]) for c, f in zip(zip(*made, strict=True), PAGE_FIELDS, strict=True) if f.name in names]
                 return pa.RecordBatch.from_arrays([*columns, *new], names=[*(f.name for f in kept), *(f.name for f in fields)])
 
             for i, data in enumerate(batch.column(media_col)):
                 for row in rows(data.as_py()):
                     at.append(i)
                     made.append(row)
-                    held += len(row[9] or b"")
-                    if held > 16 << 20 or len(at) >= 1000:
+                    held += len(row[9] or b"") + 200
+                    if held > 4 << 20:
                         yield flush()
                         at, made, held = [], [], 0
             if at:
@@ -420,19 +422,74 @@ def read_pages(files: DataFrame, *, media_col: str = "media") -> DataFrame:
     return files.mapInArrow(read, StructType([*kept, *fields]))
 
 
+def joined_pages(pages: DataFrame, kept: list[str]) -> DataFrame:
+    """One row per file from the rows of read_pages(), as they follow one another: nothing is shuffled.
+
+    Columns: ``kept`` (of the first row), pages (int), samples (of all pages, one after the other;
+    null if a page is broken), feature (of the pages, with blanks between) and error (or null).
+    """
+    fields = [*(pages.schema[c] for c in kept), StructField("pages", IntegerType()), StructField("samples", BinaryType()), StructField("feature", StringType()), StructField("error", StringType())]
+
+    def join(it):
+        first, parts, said, error = None, [], [], None
+        names = [f.name for f in fields]
+
+        def row():
+            return [*first, len(parts), None if error else b"".join(parts), None if error else " ".join(said), error]
+
+        def made(rows, like):
+            types = [like.column(c).type for c in kept] + [pa.int32(), pa.binary(), pa.string(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+        batch = None
+        for batch in it:
+            rows, held = [], 0
+            columns, numbers = [batch.column(c) for c in kept], batch.column("page").to_pylist()
+            for i, (page, samples, what, wrong) in enumerate(zip(numbers, *(batch.column(c) for c in ("samples", "feature", "error")), strict=True)):
+                if page == 0:
+                    if first is not None:
+                        rows.append(row())
+                        held += len(rows[-1][-3] or b"")
+                    if held > 4 << 20:
+                        yield made(rows, batch)
+                        rows, held = [], 0
+                    first, parts, said, error = [c[i].as_py() for c in columns], [], [], None
+                if wrong.is_valid:
+                    error = wrong.as_py()
+                else:
+                    parts.append(samples.as_py())
+                    said.append(what.as_py())
+            if rows:
+                yield made(rows, batch)
+        if first is not None:
+            yield made([row()], batch)
+
+    return pages.select(*kept, "page", "samples", "feature", "error").mapInArrow(join, StructType(fields))
+
+
 #: Width of the images that hold payloads.
 PAYLOAD_WIDTH = 576
-#: How payloads are stored: compression, predictor and tile side, picked by the payload's checksum.
-FORMS = (*[(DEFLATE, 2, 0)] * 7, *[(DEFLATE, 2, 64)] * 4, *[(PACKBITS, 1, 0)] * 4, (LZW, 1, 0))
+#: How payloads are stored: compression, predictor, and whether in tiles; a third in each compression.
+FORMS = ((DEFLATE, 1, False), (DEFLATE, 2, False), (DEFLATE, 2, True), (LZW, 1, False), (LZW, 1, True), (LZW, 2, False), (PACKBITS, 1, False), (PACKBITS, 1, False), (PACKBITS, 1, True))
+#: Width and height of tiles; pages of fewer than half their height have strips.
+PAYLOAD_TILE = (192, 16)
+#: Pages that a payload is split into, if it has as many rows.
+PAYLOAD_PAGES = 3
 
 
 def payload_image(text: str | None) -> tuple[int, bytes]:
-    """Bytes of the text, and a one-page file of them, filled up with 255 to whole rows."""
+    """Bytes of the text, and a file of them, filled up with 255 to whole rows.
+
+    The payload's checksum picks the form, the byte order and 1 to PAYLOAD_PAGES pages.
+    """
     raw = (text or "").encode("utf-8", "surrogatepass")
     padded = raw + b"\xff" * ((-len(raw)) % PAYLOAD_WIDTH or (0 if raw else PAYLOAD_WIDTH))
-    compression, predictor, tile = FORMS[zlib.crc32(padded) % len(FORMS)]
+    crc = zlib.crc32(padded)
+    compression, predictor, tiled = FORMS[crc % len(FORMS)]
     image = np.frombuffer(padded, np.uint8).reshape(-1, PAYLOAD_WIDTH, 1)
-    return len(raw), write([image], compression=compression, predictor=predictor, tile=tile)
+    pages = np.array_split(image, min(len(image), 1 + (crc >> 8) % PAYLOAD_PAGES))
+    tile = PAYLOAD_TILE if tiled and 2 * len(pages[-1]) >= PAYLOAD_TILE[1] else None
+    return len(raw), write(pages, compression=compression, predictor=predictor, tile=tile, order="<>"[crc >> 16 & 1])
 
 
 def payload_files(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -453,7 +510,7 @@ def payload_files(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
                 sizes.append(n)
                 media.append(data)
                 held += len(data)
-                if held > 8 << 20:
+                if held > 4 << 20:
                     yield flush()
                     start, sizes, media, held = start + len(sizes), [], [], 0
             if sizes:
