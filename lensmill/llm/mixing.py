@@ -65,15 +65,17 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     target by less than its largest document. weights: a table of source_col and weight (a
     source without a row weighs 0); by default 1, 2, 3 repeating over the sorted sources.
 
-    Null sources are one source; empty and null texts have size 0 and taken 0. Rows with the same
-    id and size, and rows without an id that have the same size, are taken alike. The same seed
-    and rows give the same result on any number of machines. Documents are not shuffled. New
+    Null sources are one source; empty and null texts have size 0 and taken 0. Rows without an id
+    count as an empty id. Where rows have the same id, size and text, as many of them are taken as
+    reach the target. The same seed and rows give the same result on any number of machines.
+    Documents are not shuffled, but for such equal rows where the target falls among them. New
     columns replace columns of docs that have their names; the others stay. Empty in, empty out.
     """
     new = ["size", "source_size", "target", "taken"]
     docs = docs.drop(*[c for c in new if c not in (id_col, text_col, source_col)])
-    own = common.free_name(docs, "hash_")
+    own, total, number = common.free_names(docs, "hash_", "sum_", "number_")
     hashed = docs.withColumn(own, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
+    hashed = hashed.withColumn(total, F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0)))
     rows = hashed.withColumn("size", word_count(F.col(text_col)))
     cell = F.substring(own, 1, CELL_DIGITS)
 
@@ -92,19 +94,26 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     filled, filled_path = common.written(filled, "filled")
     known = filled.count()
 
-    # In each source, the cell where the rest is reached, and in it the last hash that is taken.
+    # In each source, the cell where the rest is reached, and in it the last rows that are taken.
     before = Window.partitionBy("src_").orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)
     cut = cells.withColumn("before_", F.coalesce(F.sum("words_").over(before), F.lit(0))).withColumnRenamed("src_", "of_")
     cut = cut.join(common.small(filled, known), F.col("of_").eqNullSafe(F.col("src_")))
     cut = cut.filter((F.col("before_") < F.col("rest_")) & (F.col("before_") + F.col("words_") > F.col("rest_")))
     cut = cut.select("of_", F.col("cell_").alias("in_"), "before_", "rest_")
-    near = hashed.select(F.col(source_col).alias("src_"), F.col(text_col).alias("text_"), F.col(own).alias("hash_"), cell.alias("cell_"))
+    near = hashed.select(F.col(source_col).alias("src_"), F.col(text_col).alias("text_"), F.col(own).alias("hash_"), cell.alias("cell_"), F.col(total).alias("sum_"))
     near = near.join(common.small(cut, known), F.col("src_").eqNullSafe(F.col("of_")) & (F.col("cell_") == F.col("in_")))
-    near = near.select("src_", "hash_", "before_", "rest_", word_count(F.col("text_")).alias("size_"))
-    inside = Window.partitionBy("src_").orderBy("hash_", "size_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = near.withColumn("upto_", F.col("before_") + F.sum("size_").over(inside))
-    # The document that straddles the target is taken when more than half of it lies below.
-    last = near.groupBy("src_").agg(F.max(F.when(F.col("upto_") - F.col("size_") / 2 <= F.col("rest_"), F.struct("hash_", "size_"))).alias("last_"))
+    near = near.select("src_", "hash_", "before_", "rest_", word_count(F.col("text_")).alias("size_"), "sum_").filter("size_ > 0")
+    near = near.groupBy("src_", "hash_", "size_", "sum_", "before_", "rest_").agg(F.count("*").alias("rows_"))  # equal rows together
+    inside = Window.partitionBy("src_").orderBy("hash_", "size_", "sum_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.col("before_") + F.sum(F.col("size_") * F.col("rows_")).over(inside)
+    # A row that straddles the target is taken when more than half of it lies below.
+    fits = F.floor((F.col("rest_") - F.col("upto_")) / F.col("size_") + F.col("rows_") + 0.5)
+    near = near.withColumn("upto_", upto).withColumn("fits_", F.greatest(fits, F.lit(0)))
+    key = F.struct("hash_", "size_", "sum_")
+    last = near.groupBy("src_").agg(
+        F.max(F.when(F.col("fits_") >= F.col("rows_"), key)).alias("last_"),
+        F.min(F.when((F.col("fits_") > 0) & (F.col("fits_") < F.col("rows_")), F.struct("hash_", "size_", "sum_", "fits_"))).alias("tied_"),
+    )
     edge = cells.join(common.small(filled.withColumnRenamed("src_", "of_"), known), F.col("of_").eqNullSafe(F.col("src_"))).drop("of_")
     edge = edge.withColumn("upto_", F.sum("words_").over(Window.partitionBy("src_").orderBy("cell_").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     edge = edge.groupBy("src_").agg(F.max(F.when(F.col("upto_") <= F.col("rest_"), F.col("cell_"))).alias("full_"))
@@ -113,13 +122,24 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     limits, _ = common.written(limits, "limits")
     common.drop(docs.sparkSession, cells_path, filled_path)
 
-    out = rows.join(common.small(limits, known), F.col(source_col).eqNullSafe(F.col("src_"))).drop("src_")
-    extra = (cell <= F.col("full_")) | (F.struct(F.col(own).alias("hash_"), F.col("size").alias("size_")) <= F.col("last_"))
-    out = out.withColumn("taken", F.col("size") * (F.col("whole_") + F.when(extra, 1).otherwise(0)))
-    return out.drop(own, "whole_", "full_", "last_")
+    helpers = ["src_", "whole_", "last_", "tied_", "full_"]
+    src, whole_, last_, tied_, full_ = common.free_names(rows, *helpers)
+    tied = limits.filter("tied_ is not null").select("src_").count()
+    limits = limits.withColumnsRenamed(dict(zip(helpers, (src, whole_, last_, tied_, full_), strict=True)))
+    out = rows.join(common.small(limits, known), F.col(source_col).eqNullSafe(F.col(src))).drop(src)
+    key = F.struct(F.col(own).alias("hash_"), F.col("size").alias("size_"), F.col(total).alias("sum_"))
+    extra = (cell <= F.col(full_)) | (key <= F.col(last_))
+    if tied:  # of equal rows, as many as fit
+        equal = F.coalesce((F.col(own) == F.col(f"{tied_}.hash_")) & (F.col("size") == F.col(f"{tied_}.size_")) & (F.col(total) == F.col(f"{tied_}.sum_")), F.lit(False))
+        among, _ = common.numbered(out.filter(equal), [source_col], number)
+        among = among.withColumn("taken", F.col("size") * (F.col(whole_) + (F.col(number) < F.col(f"{tied_}.fits_")).cast("int"))).drop(number)
+        out = out.filter(~equal)
+    out = out.withColumn("taken", F.col("size") * (F.col(whole_) + F.when(extra, 1).otherwise(0)))
+    out = out.unionByName(among) if tied else out
+    return out.drop(own, total, whole_, full_, last_, tied_)
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of a mix, each as often as it is taken; documents without words drop out."""
-    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    return mixed.select(*columns, F.explode(F.array_repeat(F.lit(0), times)).alias("copy_")).drop("copy_")
+    times, copy = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int"), common.free_name(mixed, "copy_")
+    return mixed.select(*columns, F.explode(F.array_repeat(F.lit(0), times)).alias(copy)).drop(copy)
