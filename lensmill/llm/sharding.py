@@ -6,7 +6,7 @@ and Schomaker). Another shard takes only the records that it now wins; no other
 
 Slots within a shard are gapless without a window over a whole shard: rows are numbered inside
 cells (a shard and some bits of the key's hash), and a prefix sum over the small table of cell
-counts gives each cell its first slot.
+counts gives each cell its first slot. A cell that is too large is numbered task by task.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from lensmill.llm import common
 
 #: Bits of the key's hash that split a shard into cells for numbering.
 CELL_BITS = 12
+#: Rows of a cell that one task may number.
+CELL_ROWS = 500_000
 
 
 def unit(key: Column, salt: str) -> Column:
@@ -64,14 +66,23 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", we
 
 
 def slots(rows: DataFrame, id_col: str) -> DataFrame:
-    """Adds slot, a gapless number from 0 within each shard."""
-    digest, cell = common.free_name(rows, "digest"), common.free_name(rows, "cell")
+    """Adds slot, a gapless number from 0 within each shard.
+
+    The table of cells has a fixed size: shards times 2 ** CELL_BITS rows at most. A cell with
+    more than CELL_ROWS rows (ids that repeat without end) is numbered by the tasks that hold its
+    rows, in any order; the others by key hash.
+    """
+    digest, cell, first, at, shard_, cell_, hot = common.free_names(rows, "digest", "cell", "first", "at", "of_shard", "of_cell", "hot")
     rows = rows.withColumn(digest, F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = rows.withColumn(cell, F.conv(F.substring(digest, 1, CELL_BITS // 4), 16, 10).cast("int"))
-    counts = rows.groupBy("shard", cell).agg(F.count("*").alias("rows_"))
-    before = Window.partitionBy("shard").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("shard", cell, F.coalesce(F.sum("rows_").over(before), F.lit(0)).alias("first_"))
+    counts = rows.groupBy(F.col("shard").alias(shard_), F.col(cell).alias(cell_)).agg(F.count("*").alias(at))
+    before = Window.partitionBy(shard_).orderBy(cell_).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(shard_, cell_, F.coalesce(F.sum(at).over(before), F.lit(0)).alias(first), (F.col(at) > CELL_ROWS).alias(hot))
+    counts, _ = common.written(counts, "cells")
+    hot_cells = counts.filter(hot).count()
+    rows = rows.join(F.broadcast(counts), (F.col("shard") == F.col(shard_)) & (F.col(cell) == F.col(cell_))).drop(shard_, cell_)
     inside = Window.partitionBy("shard", cell).orderBy(digest, F.col(id_col), "size", "text_crc32")
-    rows = rows.withColumn("at_", F.row_number().over(inside) - 1)
-    out = rows.join(first, ["shard", cell]).withColumn("slot", F.col("first_") + F.col("at_"))
-    return out.drop(digest, cell, "at_", "first_")
+    out = (rows.filter(~F.col(hot)) if hot_cells else rows).withColumn(at, F.row_number().over(inside) - 1)
+    if hot_cells:
+        out = out.unionByName(common.numbered(rows.filter(hot), ["shard", cell], at)[0])
+    return out.withColumn("slot", F.col(first) + F.col(at)).drop(digest, cell, first, at, hot)
