@@ -133,7 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """The model, or None without labelled rows; score_quality() takes it.
 
     docs and labels share id_col; labels other than 0 and 1, null ids and null labels are passed
-    over. With one class only, every text gets that class's smoothed share as its score.
+    over. With one class only, or without texts of both, every text gets the smoothed share of label 1
+    as its score.
     ``most_rows`` bounds the rows of the descent: all when there are fewer, else those with the
     least hashes of id and text, about that many and never twice as many, should one id repeat
     without end. Every training row counts for the ratios.
@@ -161,18 +162,18 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     r = ratios([tuple(x) for x in summed.collect()])  # at most WIDTH rows
     sent = spark.sparkContext.broadcast(r.astype(np.float32))
 
-    picked = texts
+    part = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    picked = texts.select("y", "text", part.alias("part"))
     if total > most_rows:  # rare labels are kept at a higher rate, at most half of the sample each
         rate = {y: min(1.0, most_rows / 2 / n) for y, n in counted.items()}
-        part = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / float(1 << 20)
-        picked = texts.filter(F.when(F.col("y") == 1, part < rate[1]).otherwise(part < rate[0]))
-    picked = picked.select("y", "text")
+        picked = picked.filter(F.when(F.col("y") == 1, F.col("part") < rate[1]).otherwise(F.col("part") < rate[0]))
 
     def indexed(it):
         for batch in it:
-            yield from common.batches(([y, grams(t).astype(np.int32)] for y, t in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True)), schema)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("y", "text", "part")), strict=True)
+            yield from common.batches(([y, grams(t).astype(np.int32), p] for y, t, p in rows), schema)
 
-    schema = pa.schema([("y", pa.int32()), ("at", pa.list_(pa.int32()))])
+    schema = pa.schema([("y", pa.int32()), ("at", pa.list_(pa.int32())), ("part", pa.float64())])
 
     def fitted(it):
         samples, y = [], []
@@ -181,12 +182,18 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             column = batch.column("at")
             values, ends = column.flatten().to_numpy(), np.cumsum([len(x) for x in column])
             samples += np.split(values, ends[:-1])
+        if len(set(y)) < 2:
+            return
         order = sorted(range(len(y)), key=lambda i: (y[i], len(samples[i]), samples[i].tobytes()))
         weights, a, b = fit([samples[i] for i in order], np.array(y)[order], sent.value)
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([a]), pa.array([b])], names=["w", "a", "b"])
 
-    # The limit leaves one partition: the sample, as feature numbers.
-    one = picked.mapInArrow(indexed, "y int, at array<int>").limit(2 * most_rows).mapInArrow(fitted, "w binary, a double, b double").first()
+    # One partition: the bounded sample, as feature numbers. Where one id and text repeat without
+    # end, the order makes the limit keep equal rows in each run.
+    picked = picked.mapInArrow(indexed, "y int, at array<int>, part double").orderBy("part", "y").limit(2 * most_rows)
+    one = picked.select("y", "at").mapInArrow(fitted, "w binary, a double, b double").first()
+    if one is None:
+        return {"constant": (counted[1] + 1) / (total + 2)}
     return {"r": sent, "w": np.frombuffer(one["w"], np.float32), "a": one["a"], "b": one["b"]}
 
 

@@ -6,7 +6,7 @@ and only those rules run their regular expression on the URL.
 Two kinds of rules share the index:
 
 * site rules, ``host/path``: they fit the host and its subdomains when the URL's path starts with
-  the rule's; the longest that fits decides (of equal ones block, then the smaller text);
+  the rule's; the longest that fits decides (of equal ones block, then the one given first);
 * patterns over host and path, where ``*`` is any run and ``^`` a place between a letter or digit
   and something else, or an end: they decide where no site rule fits, block before allow.
 
@@ -105,13 +105,14 @@ def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url") -> DataFr
     fits = urls.join(index, "token").filter(F.expr("concat(host, path) rlike regex"))
     order = F.struct((F.col("kind") == "site").cast("int"), F.when(F.col("kind") == "site", F.length("rule")).otherwise(0), (F.col("action") == "block").cast("int"), -F.col("number"))
     best = fits.groupBy("host", "path").agg(F.max_by(F.struct("kind", "rule", "action"), order).alias("best"))
+    of_host, of_path = common.free_names(pages, "host_", "path_")
     best = best.select(
-        F.col("host").alias("host_"),
-        F.col("path").alias("path_"),
+        F.col("host").alias(of_host),
+        F.col("path").alias(of_path),
         F.when(F.col("best.kind") == "site", F.col("best.rule")).alias("rule"),
         F.when(F.col("best.kind") == "pattern", F.col("best.rule")).alias("pattern"),
         F.col("best.action").alias("verdict"),
     )
     out = pages.withColumn("host", host_of(url)).withColumn("path", path_of(url))
-    out = out.join(best, (F.col("host") == F.col("host_")) & (F.col("path") == F.col("path_")), "left").drop("host_", "path_")
+    out = out.join(best, (F.col("host") == F.col(of_host)) & (F.col("path") == F.col(of_path)), "left").drop(of_host, of_path)
     return out.withColumn("verdict", F.coalesce("verdict", F.lit("allow")))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -54,6 +55,20 @@ def brute_components(rows, n, num, den):
     return {(k, len(sets[i]), least[find(i)], links[i]) for i, (k, _) in enumerate(rows)}
 
 
+def test_word_hashes_are_those_of_the_words(monkeypatch):
+    monkeypatch.setattr(common, "PIECE", 300)
+    rng, said, of = random.Random(1), {}, {}
+    texts = ["a" * 300 + " " + "a" * 301 + " b", "x " * 900 + "y" * 700 + " z", " \t lead", "É é  E", "w" * 255 + " " + "w" * 256, "", "   ", "\u00a0 \x1c", "A\nB\vC\fD\rE\tF"]
+    texts += ["".join(rng.choice("abcAB é\n") for _ in range(rng.randrange(900))) for _ in range(200)]
+    for text in texts:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
+        hashes = common.word_hashes(text).tolist()
+        assert len(words) == len(hashes)
+        for w, h in zip(words, hashes, strict=True):
+            assert said.setdefault(w, h) == h and of.setdefault(h, w) == w
+    assert len(common.word_hashes(None)) == 0
+
+
 def near_copies(seed, groups=12, each=6, longest=160):
     rng = np.random.default_rng(seed)
     texts = []
@@ -249,8 +264,8 @@ def brute_leaks(index, text, least):
         for s in range(len(words) - size + 1):
             fingerprint = decontaminate.fingerprints(decontaminate.signs(h[s : s + size]).sum(axis=0)[None, :])[0]
             apart = int(np.bitwise_count(fingerprint ^ index.prints[k]))
-            score = index.similarity(decontaminate.grams(h[s : s + size], index.words), k)
-            if score >= least and apart <= decontaminate.RADIUS:
+            score = index.similarity(decontaminate.grams(h[s : s + size], 5), k)
+            if score >= least:
                 out[k] = max(out.get(k, (-1.0,)), (score, -s, -apart))
     return {k: (v[0], -v[1], -v[2]) for k, v in out.items()}
 
@@ -272,14 +287,37 @@ def test_leaks_equal_brute_force():
         assert index.matches(text, 0.6, hashes) == brute_leaks(index, text, 0.6)
 
 
-def test_near_finds_all_within_the_radius():
-    rng = np.random.default_rng(6)
-    index = decontaminate.Items([(i, " ".join(words(rng, 20))) for i in range(50)], 5)
-    flips = [int(rng.integers(0, 15)) for _ in range(300)]
-    prints = np.array([index.prints[i % 50] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, f, replace=False))) for i, f in enumerate(flips)], np.uint64)
-    window, item = index.near(prints)
-    apart = np.bitwise_count(prints[:, None] ^ index.prints[None, :])
-    assert set(zip(window.tolist(), item.tolist(), strict=True)) == {(int(a), int(b)) for a, b in np.argwhere(apart <= decontaminate.RADIUS)}
+def test_short_items_and_scripts_without_spaces():
+    long = "这是一个没有空格的基准题目请给出正确答案并解释原因"
+    items = [(1, "Yes, it is."), (2, "yes"), (3, long), (4, "กขคงจฉชซ"), (5, "?!")]
+    index, known = decontaminate.Items(items, 5), common.WordHashes()
+    assert index.ids == [1, 2, 3, 4]
+    found = lambda text: {index.ids[k]: v[1] for k, v in index.matches(text, 0.8, known).items()}
+    assert found("well yes: IT is so") == {1: 1, 2: 1}
+    assert found("it is yes") == {2: 2} and found("yesterday it is") == {}
+    assert found(f"前面的话{long}后面的话") == {3: 4}
+    assert found(long[:23] + "别的") == {3: 0} and found(long[:12]) == {}
+    assert found("x กขคงจฉชซ") == {4: 1}
+
+
+@pytest.mark.parametrize("size", [10, 15, 20, 40, 80])
+def test_recall_of_copies_with_a_fifth_changed(size):
+    """Copies whose words are changed at either end, by sets of shingles alone."""
+    rng, known = np.random.default_rng(size), common.WordHashes()
+    items = [(i, " ".join(f"w{w}" for w in rng.integers(0, 10**6, size))) for i in range(60)]
+    index, wanted, found = decontaminate.Items(items, 5), 0, 0
+    for k, (_, item) in enumerate(items):
+        mine = item.split()
+        for _ in range(5):
+            cut, piece = int(rng.integers(0, size // 5 + 1)), list(mine)
+            at = slice(0, cut) if rng.random() < 0.5 else slice(size - cut, size)
+            piece[at] = [f"z{w}" for w in rng.integers(0, 10**6, cut)]
+            sets = [{tuple(x[i : i + 5]) for i in range(size - 4)} for x in (mine, piece)]
+            if len(sets[0] & sets[1]) >= 0.8 * len(sets[0]):
+                wanted += 1
+                text = " ".join(["before"] * 30 + piece + ["after"] * 30)
+                found += k in index.matches(text, 0.8, known)
+    assert wanted > 100 and found == wanted
 
 
 def test_edited_leaks_are_found_at_any_distance():
@@ -345,7 +383,7 @@ def test_blocks_weigh_by_all_documents(spark, monkeypatch):
 def test_tiff_round_trip(compression, order):
     rng = np.random.default_rng(compression)
     for predictor in (1, 2):
-        for tile in (0, 16):
+        for tile in (None, (16, 16), (48, 16)):
             for kind in (np.uint8, np.uint16, np.uint32):
                 pages = [rng.integers(0, 50, (h, w, s)).astype(kind) for h, w, s in ((1, 1, 1), (5, 7, 3), (40, 33, 1))]
                 got = list(tiff.Reader(tiff.write(pages, compression=compression, predictor=predictor, tile=tile, order=order, rows=16)).pages())
@@ -388,19 +426,58 @@ def test_tiff_rows(spark):
     got = tiff.read_pages(df).collect()
     by = [(r["id"], r["page"], r["error"] is not None) for r in got]
     assert by.count((1, 0, False)) == 2 and by.count((1, 1, False)) == 2
-    assert {(2, None, True), (3, None, True), (4, None, True), (6, None, True)} <= set(by) and any(i == 5 and e for i, _, e in by)
+    assert {(2, 0, True), (3, 0, True), (4, 0, True), (6, 0, True)} <= set(by) and any(i == 5 and e for i, _, e in by)
     assert tiff.read_pages(df.limit(0)).count() == 0
+    files = sorted(((r["id"], r["pages"], r["error"] is None) for r in tiff.joined_pages(tiff.read_pages(df), ["id", "media"]).collect()))
+    assert files == sorted([(1, 2, True), (1, 2, True), (2, 0, False), (3, 0, False), (4, 0, False), (6, 0, False), next((i, n, e) for i, n, e in files if i == 5)])
+    small = tiff.read_pages(df.filter("id = 1"), most_bytes=3).collect()
+    assert [(r["page"], r["error"] is None) for r in small] == [(0, False)] * 2
+
+
+@pytest.mark.parametrize("compression", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
+def test_short_strips_are_errors(compression):
+    for keep in (0, 1, 20):
+        data = bytearray(tiff.write([np.random.default_rng(1).integers(0, 256, (8, 20, 1)).astype(np.uint8)], compression=compression))
+        at = data.index(struct.pack("<HHI", tiff.STRIP_COUNTS, 4, 1)) + 8
+        data[at : at + 4] = struct.pack("<I", keep)
+        with pytest.raises(tiff.TiffError):
+            list(tiff.Reader(bytes(data)).pages())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 3), st.lists(st.tuples(st.integers(0, 10**6), st.integers(0, 255)), min_size=1, max_size=6))
+def test_broken_files_are_errors(form, changes):
+    """Any bytes give pages or a TiffError: zero counts, negative and fractional tags among them."""
+    data = bytearray(tiff.write([np.ones((6, 9, 1), np.uint8), np.zeros((20, 18, 3), np.uint16)], compression=(tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS)[form], predictor=1 + form % 2, order="<>"[form // 2], tile=(16, 16) if form == 1 else None))
+    for at, value in changes:
+        data[at % len(data)] = value
+    try:
+        list(tiff.Reader(bytes(data), 1 << 20).pages())
+    except tiff.TiffError:
+        pass
+
+
+def test_odd_tags_are_errors():
+    plain = tiff.write([np.ones((2, 2, 1), np.uint8)])
+    at = plain.index(struct.pack("<HHI", tiff.WIDTH, 4, 1))
+    for kind, count, value in ((4, 0, b"\0\0\0\0"), (9, 1, struct.pack("<i", -2)), (11, 1, struct.pack("<f", 2.0))):
+        with pytest.raises(tiff.TiffError):
+            list(tiff.Reader(plain[:at] + struct.pack("<HHI", tiff.WIDTH, kind, count) + value + plain[at + 12 :]).pages())
 
 
 def test_payloads(spark):
-    texts = [None, "", "a" * 576, "é" * 1000, "same", "same", "x" * 200_000]
+    texts = [None, "", "a" * 576, "é" * 1000, "same", "same", "x" * 200_000, *(" ".join(words(np.random.default_rng(i), 60 * i)) for i in range(1, 60))]
     df = docs_of(spark, [(i, t, None, "s") for i, t in enumerate(texts)]).withColumn("media", F.lit(1))
-    got = tiff.read_pages(tiff.payload_files(df)).orderBy("doc_id").collect()
+    pages = tiff.read_pages(tiff.payload_files(df))
+    got = tiff.joined_pages(pages, ["doc_id", "n_bytes", "media"]).orderBy("doc_id").collect()
     for r, t in zip(got, texts, strict=True):
         raw = (t or "").encode()
         size = max(576, -(-len(raw) // 576) * 576)
-        assert r["n_bytes"] == len(raw) and bytes(r["samples"]) == raw.ljust(size, b"\xff")
+        assert r["n_bytes"] == len(raw) and bytes(r["samples"]) == raw.ljust(size, b"\xff") and r["error"] is None
     assert got[4]["media"] == got[5]["media"] and got[4]["feature"] == got[5]["feature"]
+    seen = pages.collect()
+    assert {r["compression"] for r in seen} == {tiff.LZW, tiff.DEFLATE, tiff.PACKBITS} and {r["page"] for r in seen} == {0, 1, 2}
+    assert {bytes(r["media"][:2]) for r in got} == {b"II", b"MM"} and {r["predictor"] for r in seen} == {1, 2}
 
 
 # --- 6: quality -----------------------------------------------------------------------------
@@ -467,12 +544,19 @@ def test_marked_noise_still_goes():
     assert html_text.main_text("<div class='content has-sidebar'><p>one</p></div><div class=sidebar>no</div>", frozenset()) == "one"
 
 
+def test_words_of_noise_in_longer_names_stay_in_articles():
+    for name in ("social-history", "tags-explained", "comment-culture", "adProduct", "footer-notes story"):
+        assert html_text.main_text(f"<article><p>one</p><div class='{name}'><p>two</p></div></article><div class='{name.split()[0]}-x'>no</div>", frozenset()) == "one\ntwo", name
+    for name in ("share", "comment-list", "newsletter signup", "adBox"):
+        assert html_text.main_text(f"<article><p>one</p><div class='{name}'><p>two</p></div></article>", frozenset()) == "one", name
+
+
 def test_style_tree_removes_shared_branches(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
     page = lambda: f"<body><div class=x1><p>Shared line</p><p>Shared {rng.choice('ab')}</p></div><div class=x2><p>{word()} {word()}</p><p>{word()}</p></div></body>"
     rows = [(i, "http://big.example.com/p", page()) for i in range(40)] + [(100, "http://small.example.com/", page()), (101, None, None), (102, "no host", ""), (1, "http://big.example.com/p", page())]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("host_", F.lit(1))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumns({c: F.lit(1) for c in ("host_", "of_", "noisy_", "host", "path")})
     got = html_text.extract(df).collect()
     for r in got:
         if r["page_id"] == 100:
@@ -533,7 +617,7 @@ def test_url_rules_equal_brute_force(spark):
     rng = random.Random(5)
     hosts, tails = ["a.example.com", "EXAMPLE.net", "xnet", "net", "b.org", "casino.org", "my-casino-win.net", "org", "é.com", "com:80"], ["", "/", "/en/7", "/en/71?x", "/de/8#y", "/de/", "/es/1", "/EN/7", "/en", "?q=/en/", "#://net/de/", "/spam/x", "/spa\u212am"]
     urls = [rng.choice(["http://", "https://", "x://"]) + rng.choice(hosts) + rng.choice(tails) for _ in range(200)] + [None, "", "com/en/", "://net/de/1", "http://"]
-    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls + urls[:20])], "page_id int, url string").withColumn("host", F.lit(0)).withColumn("rule", F.lit(0))
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls + urls[:20])], "page_id int, url string").withColumns({c: F.lit(0) for c in ("host", "rule", "host_", "path_", "token", "seen", "best")})
     got = url_filter.judge(df, url_filter.rule_table(spark, SITES)).collect()
     assert len(got) == len(urls) + 20
     for r in got:
@@ -592,6 +676,22 @@ def test_mix(spark):
     assert copies == sum(r["taken"] // r["size"] for r in got if r["size"])
 
 
+def test_mix_of_repeated_rows(spark):
+    rows = [(7, "w w w w", None, "a")] * 50 + [(8 + i, "w w w", None, "a") for i in range(3)] + [(None, "v v v v", None, "b")] * 30 + [(100 + i, "x", None, "c") for i in range(9)]
+    df = docs_of(spark, rows).withColumns({c: F.lit(1) for c in ("src_", "whole_", "rest_", "last_", "full_", "tied_", "hash_", "sum_", "number_", "part", "of_source")}).repartition(3)
+    mixed = mixing.mix(df)
+    got = mixed.collect()
+    assert len(got) == len(rows) and set(mixed.columns) == {*df.columns, "size", "source_size", "target", "taken"}
+    for s in "abc":
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine), s
+        assert all(r["taken"] % r["size"] == 0 and r["taken"] <= 3 * r["size"] for r in mine)
+    key = lambda rs: sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in rs)
+    assert key(got) == key(mixing.mix(df.repartition(5)).collect())
+    again = mixed.withColumns({c: F.lit(0) for c in ("copy_", "copy")})
+    assert mixing.repeated(again, ["doc_id"]).count() == sum(r["taken"] // r["size"] for r in got)
+
+
 def test_mix_with_given_weights(spark):
     df = docs_of(spark, [(i, "w " * 10, None, "ab"[i % 2]) for i in range(400)])
     weights = spark.createDataFrame([("a", 3.0), ("c", 9.0)], "source string, weight double")
@@ -623,6 +723,19 @@ def test_shards(spark):
     assert sharding.shard(df.limit(0)).count() == 0
 
 
+def test_shards_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 20)
+    rows = [(7, "x", None, "s")] * 100 + [(None, "y" * (i % 3), None, "s") for i in range(60)] + [(i, "z", None, "s") for i in range(300)]
+    df = docs_of(spark, rows).withColumns({c: F.lit(1) for c in ("at", "first", "rows_", "at_", "first_", "hot", "of_shard", "cell", "digest", "part")}).repartition(3)
+    placed = sharding.shard(df)
+    got = placed.collect()
+    assert len(got) == len(rows) and set(placed.columns) == {*df.columns, "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
+    assert all(r["shard"] == brute_shard(r["doc_id"], 16) for r in got)
+    for s in range(16):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+
+
 def test_weighted_shards(spark):
     df = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     got = {r["shard"]: r["n"] for r in sharding.shard(df, weights=[1.0, 0.0, 3.0]).groupBy("shard").agg(F.count("*").alias("n")).collect()}
