@@ -15,38 +15,53 @@ SHARDS = 16
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the classifier scores at 0.3 or more, whether labelled or not."""
+    """Keeps the documents that the classifier scores at 0.3 or more, whether labelled or not.
+
+    Null and empty texts are scored by the bias alone; repeated rows are scored alike, so all or
+    none stay. Columns of any name stay as they are. Empty in, empty out.
+    """
     score = common.free_name(docs, "score")
     scored = quality.score_quality(docs, queries.quality_model(spark, sf_dir), score_col=score)
     return scored.filter(F.col(score) >= 0.3).drop(score)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that five-word shingles link at 0.8: the one with the least id.
+    """Keeps one row of each group that five-word shingles link at 0.8: one with the least id.
 
-    Documents without words link with nothing and stay. Of rows that share the kept id, all stay.
+    Rows are told apart by id and text, so a repeated or null id takes no other text with it, and
+    of repeated rows one stays. Null texts and texts without words link with nothing and stay.
+    Columns of any name stay as they are. Empty in, empty out.
     """
-    found = jaccard_join.jaccard_join(docs, words=5, num=80, den=100)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_"))
-    gone, _ = common.written(gone, "gone")
-    return docs.join(common.small(gone, gone.count()), F.col("doc_id") == F.col("gone_"), "left_anti")
+    return jaccard_join.without_near_duplicates(docs, words=5, num=80, den=100)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
+    """Drops the documents that hold a benchmark item, repeated rows alike.
+
+    Null and empty texts hold nothing and stay, and without items all stays. Columns of any name
+    stay as they are. Empty in, empty out.
+    """
     return decontaminate.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it; one that is not taken goes.
 
-    Documents without words have no size to mix by and go.
+    Documents without words have no size to mix by and go. Null sources are one source. Of
+    repeated rows as many are taken as their source's target asks for. The documents' columns
+    stay; names of the mix's own columns give way to them. Empty in, empty out.
     """
-    return mixing.repeated(mixing.mix(docs), docs.columns)
+    given = {c: f"{c}_of_docs" for c in docs.columns if c in ("size", "source_size", "target", "taken")}
+    given = dict(zip(given, common.free_names(docs, *given.values()), strict=True))
+    mixed = mixing.mix(docs.withColumnsRenamed(given))
+    return mixing.repeated(mixed, [given.get(c, c) for c in docs.columns]).toDF(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds shard, slot and the other columns of the shards."""
+    """Adds shard, slot and the other columns of the shards, in place of columns of their names.
+
+    Rows with the same or no id share a shard; null texts have size 1. Empty in, empty out.
+    """
     return sharding.shard(docs, weights=[1.0] * SHARDS)
 
 
