@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,22 +43,31 @@ def name_uuid(name: Column) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("3"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
+def fnv1a(texts: list[str], seed: int = 0) -> np.ndarray:
+    """64-bit FNV-1a of UTF-8 bytes, as unsigned numbers, for all texts at once: a step for each byte place."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    size = np.array([len(r) for r in raw], np.int64)
+    order = np.argsort(-size, kind="stable")  # the texts that still have a byte are the first ones
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])[order] if len(raw) else size
+    joined, size = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64), size[order]
+    h = np.full(len(raw), (0xCBF29CE484222325 ^ seed) & (1 << 64) - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(int(size[0]) if len(size) else 0):
+            n = int(np.searchsorted(-size, -i, "left"))
+            h[:n] = (h[:n] ^ joined[first[:n] + i]) * np.uint64(0x100000001B3)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
 def fnv1a_priority(path: Column, seed: int = 0) -> Column:
-    """64-bit FNV-1a of the path's UTF-16 code units, made non-negative: the order of a seeded sample."""
-    basis, prime, mask = 0xCBF29CE484222325, 0x100000001B3, (1 << 64) - 1
+    """FNV-1a of the path's UTF-8 bytes with the sign bit flipped: signed numbers in the order of the unsigned hashes."""
 
     @F.pandas_udf("long")
     def priority(paths: pd.Series) -> pd.Series:
-        out = []
-        for p in paths:
-            if p is None:
-                out.append(None)
-                continue
-            h = (basis ^ seed) & mask
-            raw = p.encode("utf-16-le")
-            for i in range(0, len(raw), 2):
-                h = ((h ^ (raw[i] | raw[i + 1] << 8)) * prime) & mask
-            out.append(h & (mask >> 1))
-        return pd.Series(out, dtype="Int64")
+        known = paths.notna().to_numpy()
+        out = pd.Series(pd.NA, index=paths.index, dtype="Int64")
+        out[known] = (fnv1a(paths[known].tolist(), seed) ^ np.uint64(1 << 63)).view(np.int64)
+        return out
 
     return priority(path)

@@ -7,50 +7,42 @@ joins the one with the least id. Order-dependent folds run group by group in a s
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lensmill.functions import hashes, vectors
 from lensmill.operators import vector as vector_ops
+from lensmill.sources import scratch
 
 MERGE, FULL_MERGE, MOST_PROTOTYPES, MOST_SAMPLES = 0.30, 0.38, 3, 10_000
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df as a table in the checkpoint folder that all executors share; a temporary one where none is set."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{folder.rstrip('/')}/lensmill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def connected(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, root) with the least node of each component; edges (a, b) in either order.
 
     Each round hands every node the least root among its neighbours and then that root's root, so
-    labels travel in jumps. Rounds are written to the checkpoint folder to keep plans short.
+    labels travel in jumps, until no root changes. Rounds are tables in the checkpoint folder.
     """
-    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = nodes.select(F.col("node"), F.col("node").alias("root"))
-    for _ in range(most_rounds):
+    spark = edges.sparkSession
+    both, _ = scratch.saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    roots, before = nodes.select(F.col("node"), F.col("node").alias("root")), None
+    while True:
         heard = both.join(roots, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m_"))
         low = roots.join(heard, "node", "left").select("node", F.col("root").alias("was_"), F.least("root", F.coalesce("m_", "root")).alias("root"))
         jump = low.select(F.col("node").alias("root"), F.col("root").alias("up_"))
-        table = saved(low.join(jump, "root", "left").select("node", "was_", F.least("root", F.coalesce("up_", "root")).alias("root")))
+        table, path = scratch.saved(low.join(jump, "root", "left").select("node", "was_", F.least("root", F.coalesce("up_", "root")).alias("root")))
         roots = table.select("node", "root")
+        scratch.drop(spark, *([before] if before else []))
+        before = path
         if not table.filter("was_ <> root").limit(1).count():
-            break
-    return roots
+            return roots
 
 
 def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.4, min_points: int = 2) -> DataFrame:
     """(key, cluster, core): cluster is the least core's key, null for noise; a point is its own neighbour."""
-    pairs = saved(vector_ops.near_pairs(df, key, vector, eps).select("a", "b"))
+    pairs, _ = scratch.saved(vector_ops.near_pairs(df, key, vector, eps).select("a", "b"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = df.select(F.col(key).alias("node")).join(both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_")), "node", "left")
     core = degree.filter(F.coalesce("n_", F.lit(0)) + 1 >= min_points).select("node")
@@ -216,9 +208,7 @@ def kmeans(paths: list[str], vectors: np.ndarray, k: int | None = None, rounds:
 
 
 def sample(df: DataFrame, key: str, size: int = 2048, seed: int = 0) -> DataFrame:
-    """The rows with the least seeded hashes of their key: the same on every run, whatever the partitions."""
-    from lensmill.functions import hashes
-
+    """The rows with the least seeded hashes of their key, then the least keys: the same on every run."""
     return df.withColumn("h_", hashes.fnv1a_priority(F.col(key).cast("string"), seed)).orderBy("h_", key).limit(size).drop("h_")
 
 
@@ -236,3 +226,25 @@ def semantic_clusters(df: DataFrame, key: str, vector: str, size: int = 2048, se
             yield pd.DataFrame({key: pdf[key], "cluster": label, "distance": 1 - (unit * centres[label]).sum(axis=1)})
 
     return picked.coalesce(1).mapInPandas(run, f"`{key}` {kind}, cluster int, distance double")
+
+
+def generation(df: DataFrame, key: str, vector: str, *, size: int = 2048, seed: int = 0, least: int = 5, most: int = 8, top: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Clusters and members of a generation, from the sample's vectors by their largest dimension.
+
+    Clusters: cluster, bucket, members, score (share of the sampled vectors) and centroid (their
+    mean). They are numbered among the first ``most`` buckets, and those with fewer than ``least``
+    vectors are left out. Members: cluster, rank from 0 and key, the ``top`` least keys of each.
+    """
+    picked = sample(df.select(key, vector), key, size, seed).withColumn("bucket", vectors.argmax(F.col(vector))).filter("bucket is not null")
+    picked, _ = scratch.saved(picked)
+    first = Window.orderBy("bucket")  # as many rows as the vectors have dimensions
+    numbered = picked.groupBy("bucket").agg(F.count("*").alias("members")).withColumn("number", F.row_number().over(first) - 1)
+    numbered = numbered.filter((F.col("number") < most) & (F.col("members") >= least))
+    numbered = numbered.withColumn("cluster", F.concat_ws("-", F.lit("cluster"), "number", "bucket")).join(picked.agg(F.count("*").alias("all")))
+    long = picked.join(F.broadcast(numbered.select("bucket", "cluster")), "bucket").select("cluster", F.posexplode(vector).alias("i", "x"))
+    means = long.groupBy("cluster", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    centroids = means.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("v")).select("cluster", F.transform("v", lambda x: x["m"]).alias("centroid"))
+    clusters = numbered.select("cluster", "bucket", "members", (F.col("members") / F.col("all")).alias("score")).join(centroids, "cluster")
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(key)) - 1
+    rows = picked.join(F.broadcast(numbered.select("bucket", "cluster")), "bucket").select("cluster", rank.alias("rank"), key)
+    return clusters, rows.filter(F.col("rank") < top)
