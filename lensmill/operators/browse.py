@@ -108,3 +108,64 @@ def by_paths(df: DataFrame, path: str, wanted: list[str], most: int = 500) -> Da
 def ocr_scope(scene: Column) -> Column:
     """Scenes that are worth reading: documents, screenshots and texts."""
     return F.coalesce(F.lower(scene).rlike("document|screenshot|text|文档|截图"), F.lit(False))
+
+
+def of_scene(df: DataFrame, scene: str, wanted: str) -> DataFrame:
+    """Rows of one scene."""
+    return df.filter(F.col(scene) == wanted)
+
+
+def favourites(df: DataFrame, favourite: str, trashed: str | None = None) -> DataFrame:
+    """Favourites that are not trashed."""
+    out = df.filter(F.col(favourite))
+    return out.filter(~F.col(trashed)) if trashed else out
+
+
+def trash(df: DataFrame, trashed: str, deleted: str, path: str) -> DataFrame:
+    """Trashed rows, the last deleted first, then by path."""
+    return df.filter(F.col(trashed)).orderBy(F.col(deleted).desc(), path)
+
+
+def having(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in which all of these columns are set: a place, a hash, a cluster."""
+    return df.dropna("any", subset=list(columns))
+
+
+def lacking(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in which none of these columns is set, such as those without a thumbnail."""
+    missing = F.lit(True)
+    for c in columns:
+        missing = missing & F.col(c).isNull()
+    return df.filter(missing)
+
+
+def other_generation(df: DataFrame, generation: str, current: int) -> DataFrame:
+    """Rows that the current generation has not seen; rows without one count as unseen."""
+    return df.filter(~F.col(generation).eqNullSafe(F.lit(current)))
+
+
+def version_rows(df: DataFrame, path: str, modified: str, fingerprint: str) -> DataFrame:
+    """What a scan compares: path, time of change and fingerprint. The scan reads no other column."""
+    return df.select(path, modified, fingerprint)
+
+
+def without_prefix(df: DataFrame, column: str, prefix: str = "pending:") -> DataFrame:
+    """Rows whose value is set and does not start with the prefix."""
+    return df.filter(~F.col(column).startswith(prefix))
+
+
+def features_of(df: DataFrame, *, path: str | None = None, plugin: str | None = None, kind: str | None = None) -> DataFrame:
+    """Rows of the feature store by file, plugin, type, or any of these together."""
+    for column, wanted in (("filePath", path), ("pluginId", plugin), ("featureType", kind)):
+        if wanted is not None:
+            df = df.filter(F.col(column) == wanted)
+    return df
+
+
+def refined(hits: DataFrame, *, kind: str | None = None, day: str | None = None, camera: str | None = None, kind_col: str = "mediaType", time_col: str = "capturedAt", camera_col: str = "model") -> DataFrame:
+    """Search hits of one kind, one local day (yyyy-MM-dd) and one camera, as far as these are given."""
+    if kind is not None:
+        hits = hits.filter(F.col(kind_col) == kind)
+    if day is not None:
+        hits = hits.filter(F.to_date(time_col) == F.lit(day).cast("date"))
+    return hits.filter(strings.nocase(F.col(camera_col)) == strings.nocase(F.lit(camera))) if camera is not None else hits

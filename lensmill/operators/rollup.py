@@ -6,15 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def directory_summary(df: DataFrame, directory: str, time: str, path: str) -> DataFrame:
-    """Per directory: rows, newest time, and the newest row's path (the least path of equal times).
+def downwards(df: DataFrame, column: str) -> Column:
+    """A number that falls as a number or time rises; null comes last."""
+    kind, c = df.schema[column].dataType.typeName(), F.col(column)
+    if kind == "timestamp_ntz":
+        c = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{column}`)")
+    elif kind in ("timestamp", "date"):
+        c = F.unix_micros(c) if kind == "timestamp" else F.unix_date(c)
+    return F.struct(c.isNull().alias("none"), (-c).alias("down"))
 
-    One grouped sum with partial aggregation; numbers order downwards by sign, so no window runs.
+
+def directory_summary(df: DataFrame, directory: str, time: str, path: str, thumbnail: str | None = None) -> DataFrame:
+    """Per directory: rows, newest time, and path (and thumbnail) of the newest row; of equal times the least path.
+
+    One grouped minimum with partial aggregation; no window runs, and paths are of any type.
     """
-    newest = F.max(F.struct(F.col(time).alias("t"), (-F.col(path)).alias("p")))
-    return df.groupBy(directory).agg(F.count("*").alias("media_count"), newest.alias("n")).select(
-        directory, "media_count", F.col("n.t").alias("latest_at"), (-F.col("n.p")).alias("cover_path")
-    )
+    cover = F.struct(F.col(path).alias("path"), (F.col(thumbnail) if thumbnail else F.lit(None).cast("string")).alias("thumbnail"))
+    newest = F.min_by(cover, F.struct(downwards(df, time).alias("t"), F.col(path).alias("p")))
+    out = df.groupBy(directory).agg(F.count("*").alias("media_count"), F.max(time).alias("latest_at"), newest.alias("c_"))
+    shown = [F.col("c_.path").alias("cover_path"), *([F.col("c_.thumbnail").alias("cover_thumbnail")] if thumbnail else [])]
+    return out.select(directory, "media_count", "latest_at", *shown)
+
+
+def by_day(df: DataFrame, album: str, time: str) -> DataFrame:
+    """Days of each album with rows, newest first: (album, day, n, place from 0)."""
+    days = df.groupBy(album, F.to_date(time).alias("day")).agg(F.count("*").alias("n"))
+    return days.withColumn("place", F.row_number().over(Window.partitionBy(album).orderBy(F.col("day").desc())) - 1)
+
+
+def flattened(nodes: DataFrame, count: str, name: str) -> DataFrame:
+    """Directories of a tree that hold rows of their own, the largest first, then by name."""
+    return nodes.filter(F.col(count) > 0).orderBy(F.col(count).desc(), name)
 
 
 def histogram(df: DataFrame, column: str, count: str = "n") -> DataFrame:
