@@ -11,25 +11,59 @@ from lensmill.functions import dates, maths
 WINDOW_SIZES = (7, 14, 21, 30)
 
 
-def sessions(df: DataFrame, group: str, time: str, key: str, *, most_hours: int = 6, place: tuple[str, str] | None = None, most_km: float = 5.0) -> DataFrame:
-    """df with ``session``, a number from 1 inside its group.
+def hour(df: DataFrame, time: str) -> Column:
+    """Number of a row's hour: of a time, or of milliseconds. Rows without a time come before all others."""
+    kind, c = df.schema[time].dataType.typeName(), F.col(time)
+    if kind == "timestamp_ntz":
+        c = F.expr(f"timestampdiff(HOUR, TIMESTAMP_NTZ '1970-01-01 00:00:00', date_trunc('HOUR', `{time}`))")
+    elif kind in ("timestamp", "date"):
+        c = F.floor(F.unix_seconds(c.cast("timestamp")) / 3600)
+    else:
+        c = F.floor(c / 3_600_000)
+    return F.coalesce(c.cast("long"), F.lit(-(1 << 62)))
+
+
+def sessions(df: DataFrame, group: str | None, time: str, key: str, *, most_hours: int = 6, place: tuple[str, str] | None = None, most_km: float = 5.0) -> DataFrame:
+    """df with ``session``, a number from 1 inside its group, or over the whole table without a group.
 
     A session ends when whole hours to the next row exceed ``most_hours`` (so 6 h 59 min still
-    joins) or both rows have a place and these are further apart than ``most_km``.
+    joins) or both rows have a place and these are further apart than ``most_km``. Rows are
+    ordered inside an hour of a group only; the last row of the hour before and the sessions
+    begun so far come from tables of hours, so no task sorts a whole group.
     """
-    w = Window.partitionBy(group).orderBy(time, key)
-    new = dates.whole_hours(F.lag(time).over(w), F.col(time)) > most_hours
+    within = [group] if group else []
+    rows = df.withColumn("hour_", hour(df, time))
+    seen = F.struct(F.col(time).alias("t"), *([F.col(place[0]).alias("lat"), F.col(place[1]).alias("lon")] if place else []))
+    hours = Window.partitionBy(*within).orderBy("hour_")
+    ends = rows.groupBy(*within, "hour_").agg(F.max_by(seen, F.struct(time, key)).alias("last_"))
+    ends = ends.select(*within, "hour_", F.lag("last_").over(hours).alias("before_"))
+    w = Window.partitionBy(*within, "hour_").orderBy(time, key)
+    rows = same_keys(rows, ends, [*within, "hour_"]).withColumn("before_", F.coalesce(F.lag(seen).over(w), "before_"))
+    new = dates.whole_hours(F.col("before_.t"), F.col(time)) > most_hours
     if place:
         lat, lon = (F.col(c) for c in place)
-        new = new | F.coalesce(maths.haversine_km(F.lag(lat).over(w), F.lag(lon).over(w), lat, lon) > most_km, F.lit(False))
-    marked = df.withColumn("new_", F.coalesce(new, F.lit(True)).cast("int"))
-    return marked.withColumn("session", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("new_")
+        new = new | F.coalesce(maths.haversine_km(F.col("before_.lat"), F.col("before_.lon"), lat, lon) > most_km, F.lit(False))
+    rows = rows.withColumn("new_", F.coalesce(new, F.lit(True)).cast("long"))
+    begun = rows.groupBy(*within, "hour_").agg(F.sum("new_").alias("begun_"))
+    begun = begun.select(*within, "hour_", F.coalesce(F.sum("begun_").over(hours.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier_"))
+    inside = F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = same_keys(rows, begun, [*within, "hour_"]).withColumn("session", F.col("earlier_") + inside)
+    return out.select(*df.columns, "session")
+
 
+def same_keys(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the other columns of ``other``, which has a row for each of their keys; null keys are equal."""
+    other = other.withColumnsRenamed({k: f"of_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    return rows.join(other, same, "left").drop(*[f"of_{k}" for k in keys])
 
-def events(df: DataFrame, group: str, time: str, key: str, least: int = 3, **options) -> DataFrame:
+
+def events(df: DataFrame, group: str | None, time: str, key: str, least: int = 3, **options) -> DataFrame:
     """Sessions with at least ``least`` rows: rows, first and last time, whole hours between."""
     rows = sessions(df, group, time, key, **options)
-    found = rows.groupBy(group, "session").agg(F.count("*").alias("n"), F.min(time).alias("first_at"), F.max(time).alias("last_at"))
+    found = rows.groupBy(*([group] if group else []), "session").agg(F.count("*").alias("n"), F.min(time).alias("first_at"), F.max(time).alias("last_at"))
     return found.filter(F.col("n") >= least).withColumn("span_hours", dates.whole_hours(F.col("first_at"), F.col("last_at")))
 
 
@@ -71,26 +105,19 @@ def pick_apart(windows: DataFrame, group: str, score: str, most: int = 3, margin
 def evicted(cache: DataFrame, time: str, size: str, keys: list[str], *, budget: int, protected: Column, group: str | None = None) -> DataFrame:
     """Entries that an LRU cache drops: the oldest first while the total exceeds the budget.
 
-    Protected entries count but stay. Without ``group`` the cache is one: its order is a sum over
-    the whole table, so prefix sums by time bucket come first and no task sorts all rows.
+    Protected entries count but stay. A cache is a group, or all without one. Sizes are summed by
+    hour (or by value, where ``time`` is a text) first, so no task sorts a whole cache.
     """
     within = [group] if group else []
     total = cache.groupBy(*within).agg(F.coalesce(F.sum(size), F.lit(0)).alias("total_"))
-    free = cache.filter(~protected)
-    if group:
-        w = Window.partitionBy(group).orderBy(time, *keys).rowsBetween(Window.unboundedPreceding, -1)
-        rows = free.withColumn("gone_", F.coalesce(F.sum(size).over(w), F.lit(0))).join(total, group)
-    else:
-        buckets = free.groupBy(time).agg(F.sum(size).alias("s_"))
-        before = buckets.withColumn("b_", F.date_trunc("hour", F.col(time)) if dict(cache.dtypes)[time].startswith("timestamp") else F.floor(F.col(time) / 3_600_000))
-        hours = before.groupBy("b_").agg(F.sum("s_").alias("h_"))
-        hours = hours.withColumn("earlier_", F.coalesce(F.sum("h_").over(Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        inside = Window.partitionBy("b_").orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
-        before = before.withColumn("in_", F.coalesce(F.sum("s_").over(inside), F.lit(0))).join(hours.select("b_", "earlier_"), "b_")
-        before = before.select(F.col(time).alias("t_"), (F.col("earlier_") + F.col("in_")).alias("before_"))
-        ties = Window.partitionBy(time).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-        rows = free.withColumn("tie_", F.coalesce(F.sum(size).over(ties), F.lit(0))).join(before, F.col(time) == F.col("t_")).withColumn("gone_", F.col("before_") + F.col("tie_"))
-        rows = rows.join(F.broadcast(total))  # one row
+    span = F.col(time) if cache.schema[time].dataType.typeName() == "string" else hour(cache, time)
+    free = cache.filter(~protected).withColumn("span_", span)
+    spans = free.groupBy(*within, "span_").agg(F.sum(size).alias("size_"))
+    before = Window.partitionBy(*within).orderBy("span_").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(*within, "span_", F.coalesce(F.sum("size_").over(before), F.lit(0)).alias("earlier_"))
+    inside = Window.partitionBy(*within, "span_").orderBy(time, *keys).rowsBetween(Window.unboundedPreceding, -1)
+    rows = same_keys(free, spans, [*within, "span_"]).withColumn("gone_", F.col("earlier_") + F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    rows = same_keys(rows, total, within) if group else rows.join(F.broadcast(total))  # one row
     return rows.filter(F.col("total_") - F.col("gone_") > budget).select(*cache.columns)
 
 
@@ -127,7 +154,11 @@ def diversified(rows: list[dict], most: int | None = None, category: str = "cate
 
 
 def diversify(df: DataFrame, list_col: str, schema: str, most: int | None = None) -> DataFrame:
-    """Each list's recommendations in diversified order; a list is what one user is offered, so it is short."""
+    """Each list's recommendations in diversified order, one list a task.
+
+    A list is what one user is offered. Of a longer one the first ``most`` are enough, which stops
+    the search early; without it the time grows with the square of the list's length.
+    """
 
     def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = diversified(pdf.to_dict("records"), most)
