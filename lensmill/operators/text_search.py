@@ -34,6 +34,17 @@ def index(df: DataFrame, key: str, *columns: str) -> DataFrame:
     return df.select(F.explode(tokens(text)).alias("token"), F.col(key))
 
 
+def stored(idx: DataFrame, path: str, parts: int | None = None) -> DataFrame:
+    """The index as a table whose files are ranges of tokens, sorted inside.
+
+    It is made once. A search for a token or a prefix then reads the row groups whose range of
+    tokens holds it, by their statistics, and no text at all.
+    """
+    ranged = idx.repartitionByRange(parts, "token") if parts else idx.repartitionByRange("token")
+    ranged.sortWithinPartitions("token").write.mode("overwrite").parquet(path)
+    return idx.sparkSession.read.schema(idx.schema).parquet(path)
+
+
 def prefix_or(idx: DataFrame, key: str, text: str) -> DataFrame:
     """Keys of documents with a token that starts with any of the text's tokens; none for a blank text."""
     wanted = query_tokens(text)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from lensmill.functions import vectors
 
+#: Prototypes that are one literal of a plan, and those that are sent to the tasks together.
+LITERAL_PROTOTYPES, BLOCK_PROTOTYPES = 500, 10_000
 READY, NOT_BUILT, SPACE_MISMATCH = "READY", "NOT_BUILT", "SPACE_MISMATCH"
 
 
@@ -40,6 +42,25 @@ def top_k(df: DataFrame, key: str, vector: str, query: Column, k: int, least: fl
     return rows.filter(F.col("similarity") >= least).orderBy(F.col("similarity").desc(), F.col(key)).limit(max(k, 1))
 
 
+def search_detailed(df: DataFrame, key: str, vector: str, query: list[float], k: int = 50, least: float = 0.10, exclude=None) -> tuple[DataFrame, DataFrame]:
+    """Hits of a search, and one row about it: whether the query was usable, rows scanned, invalid ones, hits.
+
+    A query of zeros finds nothing. Rows without a vector, of another dimension or with a number
+    that is not finite are invalid; the excluded row counts as scanned.
+    """
+    sized = F.coalesce(F.size(vector) == len(query), F.lit(False))
+    good = sized & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    usable = any(query)
+    hits = top_k(df.filter(good & F.lit(usable)), key, vector, literal(query), max(k, 1), least, exclude)
+    about = df.agg(F.count("*").alias("scanned"), F.count_if(~good).alias("invalid")).join(hits.agg(F.count("*").alias("hits"), F.max("similarity").alias("best")))
+    return hits, about.withColumn("encoded", F.lit(usable))
+
+
+def space_stats(df: DataFrame, space_col: str, wanted: str, vector: str) -> DataFrame:
+    """One row: vectors of a space and their dimension (null without any)."""
+    return df.filter(F.col(space_col) == wanted).agg(F.count("*").alias("vectors"), F.max(F.size(vector)).alias("dimension"))
+
+
 def space_state(df: DataFrame, space_col: str, wanted: str) -> DataFrame:
     """One row: whether the wanted space has vectors, only others have, or none at all."""
     n = F.count("*")
@@ -50,10 +71,13 @@ def space_state(df: DataFrame, space_col: str, wanted: str) -> DataFrame:
 def nearest_prototype(df: DataFrame, vector: str, prototypes: DataFrame, prototype: str, prototype_vector: str, most: float | None = None) -> DataFrame:
     """df with the nearest prototype (ties: the least) and its distance, null beyond ``most``.
 
-    Prototypes are a bounded table (a few for each cluster); they are packed into one array that
-    every task scans, so rows are neither shuffled nor multiplied.
+    Rows are neither shuffled nor multiplied: up to LITERAL_PROTOTYPES prototypes are one array in
+    the plan, more are scanned in blocks, each sent to the tasks as one matrix.
     """
     packed = prototypes.select(F.struct(F.col(prototype).alias("p"), F.col(prototype_vector).alias("v")).alias("e"))
+    if packed.limit(LITERAL_PROTOTYPES + 1).count() > LITERAL_PROTOTYPES:
+        out = nearest_of_blocks(df, vector, prototypes, prototype, prototype_vector)
+        return out if most is None else out.withColumn("prototype", F.when(F.col("distance") <= most, F.col("prototype")))
     listed = [(r["e"]["p"], [float(x) for x in r["e"]["v"]]) for r in packed.collect()]
     if not listed:
         return df.withColumn("prototype", F.lit(None).cast(prototypes.schema[prototype].dataType)).withColumn("distance", F.lit(None).cast("double"))
@@ -64,6 +88,46 @@ def nearest_prototype(df: DataFrame, vector: str, prototypes: DataFrame, prototy
     return out if most is None else out.withColumn("prototype", F.when(F.col("distance") <= most, F.col("prototype")))
 
 
+def nearest_of_blocks(df: DataFrame, vector: str, prototypes: DataFrame, prototype: str, prototype_vector: str) -> DataFrame:
+    """nearest_prototype() for any number of prototypes: a pass over the rows for each block of them."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    spark, kind = df.sparkSession, prototypes.schema[prototype].dataType
+    fields, arrow = df.schema.fields, to_arrow_type(prototypes.schema[prototype].dataType)
+    out = df.withColumn("prototype", F.lit(None).cast(kind)).withColumn("distance", F.lit(None).cast("double"))
+    schema = StructType([*fields, StructField("prototype", kind), StructField("distance", DoubleType())])
+
+    def scanned(rows: DataFrame, names: list, table: np.ndarray) -> DataFrame:
+        sent = spark.sparkContext.broadcast((names, table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-300)))
+
+        def near(it):
+            names, unit = sent.value
+            for batch in it:
+                best, far = batch.column("prototype").to_pylist(), batch.column("distance").to_pylist()
+                for i, v in enumerate(batch.column(vector).to_pylist()):
+                    v = np.asarray(v if v is not None else [], float)
+                    size = float(np.linalg.norm(v)) if len(v) == unit.shape[1] else 0.0
+                    each = np.clip(1 - unit @ v / size, 0, 2) if size > 1e-12 else np.full(len(unit), 2.0)
+                    k = int(np.argmin(each))  # names are sorted: of equal ones the least
+                    if far[i] is None or (float(each[k]), names[k]) < (far[i], best[i]):
+                        best[i], far[i] = names[k], float(each[k])
+                columns = [batch.column(f.name) for f in fields]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(best, arrow), pa.array(far, pa.float64())], names=schema.names)
+
+        return rows.mapInArrow(near, schema)
+
+    names, held = [], []
+    for r in prototypes.select(F.col(prototype).alias("p"), F.col(prototype_vector).alias("v")).orderBy("p").toLocalIterator():
+        names.append(r["p"])
+        held.append(r["v"])
+        if len(names) == BLOCK_PROTOTYPES:
+            out, names, held = scanned(out, names, np.array(held, float)), [], []
+    return scanned(out, names, np.array(held, float)) if names else out
+
+
 def near_pairs(df: DataFrame, key: str, vector: str, most: float, pivots: int = 16) -> DataFrame:
     """Pairs (a < b) within cosine distance ``most``, exactly, without comparing all pairs.
 
