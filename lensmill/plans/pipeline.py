@@ -106,7 +106,7 @@ class ScanRun:
         runs = store.read("scan_runs") if store.exists("scan_runs") else None
         last = (runs.agg(F.coalesce(F.max("generation"), F.lit(0))).first()[0] if runs is not None else 0) or 0
         self.generation = max(now, last + 1)
-        self.complete = {"catalog": False, "files": False}
+        self.complete, self.batches = {"catalog": False, "files": False}, 0
         self._record(RUNNING)
 
     def _record(self, status: str) -> None:
@@ -118,11 +118,25 @@ class ScanRun:
         self.store.save(scan_runs=row)
 
     def commit(self, batch: DataFrame) -> None:
-        """Merges one batch of scanned rows; it is durable when this returns."""
+        """Adds one batch of scanned rows; it is durable when this returns, and merged with all others."""
+        self.store.append("scan_staging", batch.withColumn("stagedGeneration", F.lit(self.generation).cast("long")).withColumn("stagedAt", F.lit(self.batches).cast("long")))
+        self.batches += 1
+
+    def merge(self) -> None:
+        """Merges the run's batches into the media table, which is written once; of equal paths the last batch counts."""
+        if not self.store.exists("scan_staging"):
+            return
+        staged = self.store.read("scan_staging").filter(F.col("stagedGeneration") == self.generation)
+        columns = [c for c in staged.columns if c not in ("stagedGeneration", "stagedAt")]
+        last = staged.groupBy("filePath").agg(F.max_by(F.struct(*columns), "stagedAt").alias("r_"))
+        self._merge(last.select("r_.*").select(*columns))
+
+    def _merge(self, batch: DataFrame) -> None:
         media = self.store.read("media_items") if self.store.exists("media_items") else batch.limit(0).withColumn("scanGeneration", F.lit(0).cast("long"))
         tombstones = self.store.read("deletion_tombstones") if self.store.exists("deletion_tombstones") else self.spark.createDataFrame([], "filePath string, deletedAtMs long")
         rows = merge.upsert(media, batch, tombstones, self.generation).drop("changed")
-        self.store.save(media_items=merge.replace(media, rows.select(*media.columns), "filePath"))
+        left = self.store.read("scan_staging").filter(F.col("stagedGeneration") > self.generation)
+        self.store.save(media_items=merge.replace(media, rows.select(*media.columns), "filePath"), scan_staging=left)
 
     def source_done(self, name: str) -> None:
         self.complete[name] = True
@@ -132,6 +146,7 @@ class ScanRun:
         """Drops rows of other generations, only when both sources are complete and the run still runs."""
         if self.status != RUNNING or not all(self.complete.values()):
             return False
+        self.merge()
         media = self.store.read("media_items")
         self.store.save(media_items=media.filter(F.col("scanGeneration") == self.generation))
         self._record(COMPLETED)

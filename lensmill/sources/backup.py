@@ -18,7 +18,9 @@ TABLES = {
     "feature_store": (False, "feature.store.v1"), "plugin_manifest": (False, "plugin.v1"), "deletion_tombstones": (False, "deletion.intent.v1"), "album_snapshot_directories": (False, "snapshot.v1"),
 }
 KNOWN = frozenset(capability for _, capability in TABLES.values())
+TRANSIENT = ("thumbnail_cache_entries", "scan_staging", "scan_runs", "maintenance_runs", "duplicate_exact_staging")
 MOST_ENTRIES, MOST_RATIO, MOST_ENTRY, MOST_TOTAL, MOST_LINE = 64, 200, 512 << 20, 1 << 30, 4 << 20
+MOST_LEGACY = 100_000
 VERSION = 2
 
 
@@ -73,8 +75,13 @@ def check_manifest(manifest: dict) -> None:
         raise BackupError("too large")
 
 
-def restore(spark: SparkSession, folder: str, schemas: dict[str, StructType], store) -> dict[str, int]:
-    """Checks every entry, stages all tables, and publishes them in one step; the live tables change only then."""
+def restore(spark: SparkSession, folder: str, schemas: dict[str, StructType], store, now: int = 0) -> dict[str, int]:
+    """Checks every entry, stages all tables, and publishes them in one step; the live tables change only then.
+
+    The same step empties the contract's tables that the archive lacks and those that must not
+    outlive a restore, seeds the task tables again from the media table (``now`` is their time),
+    and switches off index rows whose space has no vectors.
+    """
     manifest = json.loads(spark.read.text(f"{folder}/manifest").first()[0])
     check_manifest(manifest)
     staged, counts = {}, {}
@@ -87,10 +94,79 @@ def restore(spark: SparkSession, folder: str, schemas: dict[str, StructType], st
             raise BackupError(f"{name} has a line that is too long")
         staged[name] = store.write(name, from_lines(lines, schemas[name]))
         counts[name] = row["lines"]
+    read = lambda name: spark.read.parquet(f"{store.root}/{name}/{staged[name]}")
+    for name in (*TABLES, *TRANSIENT):
+        if name not in staged and store.exists(name):
+            staged[name] = store.write(name, store.read(name).limit(0))
+    if "semantic_index_meta" in counts and "media_embeddings" in counts:
+        staged["semantic_index_meta"] = store.write("semantic_index_meta", drop_orphan_spaces(read("semantic_index_meta"), read("media_embeddings")))
+    if {"filePath", "mediaType", "isTrashed", "modifiedAtMs", "fileSize"} <= set(read("media_items").columns):
+        for name, rows in seeded_tasks(read("media_items"), now).items():
+            staged[name] = store.write(name, rows)
     store.publish(**staged)
     return counts
 
 
+def seeded_tasks(media: DataFrame, now: int) -> dict[str, DataFrame]:
+    """Fresh task tables: analysis of every image and a thumbnail of every file, trashed ones left out."""
+    live = media.filter(~F.coalesce("isTrashed", F.lit(False)))
+    task = [F.xxhash64("filePath").alias("taskId"), "filePath", F.concat_ws(":", "modifiedAtMs", "fileSize").alias("sourceVersion")]
+    state = {"priority": F.lit(0), "status": F.lit("PENDING"), "attemptCount": F.lit(0), "nextRetryAt": F.lit(0).cast("long"), "leaseUntil": F.lit(0).cast("long"), "leaseToken": F.lit(None).cast("string"), "createdAt": F.lit(now).cast("long")}
+    state = [c.alias(n) for n, c in state.items()]
+    return {
+        "analysis_tasks": live.filter("mediaType = 'IMAGE'").select(*task, F.lit("core:v1").alias("pipelineScope"), *state),
+        "thumbnail_tasks": live.select(*task, F.lit("grid").alias("sizeClass"), "mediaType", *state),
+    }
+
+
+def export_zip(tables: dict[str, DataFrame], folder: str, path: str) -> dict:
+    """export() to the folder, and the same as one ZIP file on the driver: the manifest and an entry for each table.
+
+    Lines stream through the driver. An archive's limits are far below what a driver can take;
+    beyond them the folder is the backup.
+    """
+    manifest, spark = export(tables, folder), next(iter(tables.values())).sparkSession
+    check_manifest(manifest)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("manifest.json", json.dumps(manifest))
+        for name in tables:
+            with z.open(f"{name}.ndjson", "w") as out:
+                for row in spark.read.text(f"{folder}/{name}.ndjson").toLocalIterator():
+                    out.write(f"{row['value']}\n".encode())
+    return manifest
+
+
+def restore_zip(spark: SparkSession, path: str, folder: str, schemas: dict[str, StructType], store, now: int = 0) -> dict[str, int]:
+    """restore() from an archive, after checks of its form; ``folder`` is new and shared with the executors."""
+    names = check_zip(path)
+    with zipfile.ZipFile(path) as z:
+        if "manifest.json" not in names or z.getinfo("manifest.json").file_size > MOST_LINE:
+            raise BackupError("no manifest, or too large a one")
+        manifest = json.loads(z.read("manifest.json"))
+        check_manifest(manifest)
+        entries = {f"{n}.ndjson" for n in manifest["entries"]}
+        if unknown := entries - {f"{n}.ndjson" for n in TABLES}:
+            raise BackupError(f"unknown entries {sorted(unknown)}")
+        if entries != set(names) - {"manifest.json"}:
+            raise BackupError("entries and manifest differ")
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        total = 0
+        for name in sorted(entries):
+            out, size = fs.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), False), 0
+            with z.open(name) as source:
+                while part := source.read(1 << 20):
+                    size, total = size + len(part), total + len(part)
+                    if size > MOST_ENTRY or total > MOST_TOTAL:  # whatever the directory of the archive says
+                        out.close()
+                        raise BackupError(f"the entry {name} is too large")
+                    out.write(bytearray(part))
+            out.close()
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{folder}/manifest")
+    return restore(spark, folder, schemas, store, now)
+
+
 def check_zip(path: str) -> list[str]:
     """Names of a ZIP archive's entries, after checks of their number, names, sizes and ratios."""
     with zipfile.ZipFile(path) as z:
@@ -119,7 +195,9 @@ def read_legacy(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict
 
 
 def write_legacy(tables: dict[str, DataFrame], path: str) -> None:
-    """One JSON object with all tables, for small libraries: version 1 has no other form."""
+    """One JSON object with all tables, which is all that version 1 knows; larger tables need version 2."""
+    if any(df.limit(MOST_LEGACY + 1).count() > MOST_LEGACY for df in tables.values()):
+        raise BackupError(f"a table of more than {MOST_LEGACY} rows does not fit into one row")
     spark = next(iter(tables.values())).sparkSession
     out = spark.range(1).select(F.lit(1).alias("version"))
     for name, df in tables.items():

@@ -35,7 +35,12 @@ class Store:
         return name in self.pointer()
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/{self.pointer()[name]}")
+        return self.spark.read.parquet(*[f"{self.root}/{name}/{v}" for v in self.pointer()[name].split(",")])
+
+    def append(self, name: str, df: DataFrame) -> None:
+        """Adds rows to a table without writing those it has again."""
+        had = self.pointer().get(name)
+        self.publish(**{name: ",".join([*([had] if had else []), self.write(name, df)])})
 
     def write(self, name: str, df: DataFrame, partition_by: list[str] = ()) -> str:
         """A new version that nothing points to yet."""
@@ -81,9 +86,9 @@ class Store:
 
     def vacuum(self, name: str) -> int:
         """Deletes the versions of a table that nothing points to; their number."""
-        current, n = self.pointer().get(name), 0
+        current, n = self.pointer().get(name, "").split(","), 0
         for status in self._fs.listStatus(self._path(f"{self.root}/{name}")):
-            if status.getPath().getName() != current:
+            if status.getPath().getName() not in current:
                 self._fs.delete(status.getPath(), True)
                 n += 1
         return n

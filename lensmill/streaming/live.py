@@ -25,15 +25,26 @@ def live_counts(stream: DataFrame, group: str, name: str, checkpoint: str | None
     return (out.option("checkpointLocation", checkpoint) if checkpoint else out).trigger(availableNow=True).start()
 
 
-def merge_into(stream: DataFrame, store: Store, table: str, *keys: str, checkpoint: str, seconds: float | None = None) -> StreamingQuery:
-    """Each batch's last row of a key replaces the table's; a batch that is run again changes nothing.
+def counts_into(stream: DataFrame, group: str, store: Store, table: str, checkpoint: str) -> StreamingQuery:
+    """Counts by group, kept in a table of the store: each batch replaces the counts that changed."""
+    counts = stream.groupBy(group).agg(F.count("*").alias("n"))
+    out = counts.writeStream.outputMode("update").foreachBatch(lambda batch, number: store.upsert(table, batch, group))
+    return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def merge_into(stream: DataFrame, store: Store, table: str, *keys: str, time: str, checkpoint: str, seconds: float | None = None) -> StreamingQuery:
+    """Each batch's last row of a key, by ``time``, replaces the table's; a batch that is run again changes nothing.
+
+    Of rows with the same key and time the greatest counts, so a repeated batch picks the same.
 
     With ``seconds`` batches wait for that long (a debounce); without, what is there is taken and
     the query ends.
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        store.upsert(table, batch.dropDuplicates(list(keys)), *keys)
+        rest = [c for c in batch.columns if c not in (*keys, time)]
+        last = batch.groupBy(*keys).agg(F.max(F.struct(time, *rest)).alias("r_"))
+        store.upsert(table, last.select(*keys, "r_.*").select(*batch.columns), *keys)
 
     out = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return (out.trigger(processingTime=f"{seconds} seconds") if seconds else out.trigger(availableNow=True)).start()
