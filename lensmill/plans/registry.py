@@ -6,6 +6,7 @@ time line, part a directory listing, documents searchable texts, embeddings imag
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from lensmill.functions import dates, features, hashes, maths, strings, vectors
 from lensmill.operators import browse, cluster, dedup, merge, recommend, rollup, sessions, text_search, vector
 from lensmill.plans import tasks
-from lensmill.sources import codecs
+from lensmill.sources import codecs, scratch
+from lensmill.sources.store import Store
 from lensmill.sources.tables import table
 from lensmill.streaming import live
 
@@ -55,6 +57,21 @@ def directory_summary(spark, sf):
     return out.select("o_custkey", "media_count", ms("latest_at").alias("latest_ms"), "cover_path")
 
 
+@query(
+    """WITH m AS (SELECT page_id, 'dir' || page_id % 40 AS dir, '/p/' || page_id || '.jpg' AS path, (page_id * 37) % 11 AS taken, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 't' || page_id END AS thumb FROM pages)
+       SELECT dir, count(*) AS media_count, max(taken) AS latest_at, arg_min(path, (-taken, path)) AS cover_path, arg_min({'t': thumb}, (-taken, path)).t AS cover_thumbnail FROM m GROUP BY dir"""
+)
+def directory_covers(spark, sf):
+    key = F.col("page_id")
+    rows = table(spark, sf, "pages").select(F.concat(F.lit("dir"), key % 40).alias("dir"), F.concat(F.lit("/p/"), key, F.lit(".jpg")).alias("path"), ((key * 37) % 11).alias("at"), F.when(key % 3 != 0, F.concat(F.lit("t"), key)).alias("thumb"))
+    return rollup.directory_summary(rows, "dir", "at", "path", "thumb")
+
+
+@query('SELECT user_id, strftime(ts, \'%Y-%m-%d\') AS "day", count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, \'%Y-%m-%d\') DESC) - 1 AS place FROM events GROUP BY 1, 2')
+def album_days(spark, sf):
+    return rollup.by_day(table(spark, sf, "events"), "user_id", "ts").withColumn("day", F.col("day").cast("string"))
+
+
 PART = browse.Media(path="p_partkey", name="p_name", directory="p_brand", kind="p_type", captured="p_size", modified="p_retailprice", size="p_retailprice", trashed=None)
 SORT_SQL = {"NAME": f"translate(p_name, {LOWER_SQL})", "DATE": "p_size", "MODIFIED": "p_retailprice", "SIZE": "p_retailprice"}
 
@@ -146,6 +163,45 @@ def explicit_paths(spark, sf):
     return browse.by_paths(rows, "path", ["17", "3", " ", "99", "17", "5"]).select("o_orderkey", "o_totalprice")
 
 
+@query(
+    """SELECT 'scene' AS filter, event_id FROM events WHERE event_type = 'view' UNION ALL SELECT 'favourite', event_id FROM events WHERE event_type = 'purchase' AND user_id % 5 <> 0
+       UNION ALL SELECT 'having', event_id FROM events WHERE event_type <> 'error' AND user_id % 3 <> 0 UNION ALL SELECT 'lacking', event_id FROM events WHERE event_type = 'error' AND user_id % 3 = 0
+       UNION ALL SELECT 'generation', event_id FROM events WHERE user_id % 4 <> 2 UNION ALL SELECT 'prefix', event_id FROM events WHERE event_type NOT LIKE 'pu%'
+       UNION ALL SELECT 'feature', event_id FROM events WHERE event_type = 'click' AND user_id = 7 UNION ALL SELECT 'refined', event_id FROM events WHERE event_type = 'view' AND ts::DATE = DATE '2024-01-09' AND user_id % 2 = 1"""
+)
+def media_filters(spark, sf):
+    e, user = table(spark, sf, "events"), F.col("user_id")
+    rows = e.select("event_id", "event_type", "ts", user, (F.col("event_type") == "purchase").alias("favourite"), (user % 5 == 0).alias("trashed"), F.when(F.col("event_type") != "error", F.lit(1)).alias("place"), F.when(user % 3 != 0, F.lit(1)).alias("hash"), (user % 4).alias("generation"), F.concat(F.lit("cam"), user % 2).alias("model"))
+    features_ = rows.select("event_id", user.cast("string").alias("filePath"), F.col("event_type").alias("pluginId"), F.lit("x").alias("featureType"))
+    found = {
+        "scene": browse.of_scene(rows, "event_type", "view"),
+        "favourite": browse.favourites(rows, "favourite", "trashed"),
+        "having": browse.having(rows, "place", "hash"),
+        "lacking": browse.lacking(rows, "place", "hash"),
+        "generation": browse.other_generation(rows, "generation", 2),
+        "prefix": browse.without_prefix(rows, "event_type", "pu"),
+        "feature": browse.features_of(features_, path="7", plugin="click", kind="x"),
+        "refined": browse.refined(rows, kind="view", day="2024-01-09", camera="CAM1", kind_col="event_type", time_col="ts"),
+    }
+    out = None
+    for name, kept in found.items():
+        part = kept.select(F.lit(name).alias("filter"), "event_id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 40")
+def trash_page(spark, sf):
+    rows = table(spark, sf, "orders").withColumn("gone", F.col("o_orderstatus") == "F")
+    return browse.trash(rows, "gone", "o_totalprice", "o_orderkey").limit(40).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT doc_id, n_chars, sha256(text) AS fingerprint FROM documents")
+def version_projection(spark, sf):
+    rows = table(spark, sf, "documents").withColumn("fingerprint", F.sha2("text", 256))
+    return browse.version_rows(rows, "doc_id", "n_chars", "fingerprint")
+
+
 # --- roll-ups -------------------------------------------------------------------------------
 
 
@@ -231,6 +287,16 @@ def tree_covers(spark, sf):
     return rollup.covers(rows, "dir", "at", "page_id")
 
 
+@query(
+    f"""WITH d AS ({TREE_SQL}), own AS (SELECT dir, count(*) AS c FROM d GROUP BY dir),
+    up AS (SELECT dir, c, '/' || array_to_string(list_filter(string_split(dir, '/'), lambda x: x <> '')[1:i], '/') AS path
+           FROM own, unnest(range(1, greatest(len(list_filter(string_split(dir, '/'), lambda x: x <> '')), 1) + 1)) t(i))
+    SELECT path, sum(CASE WHEN dir = path THEN c ELSE 0 END)::BIGINT AS own FROM up GROUP BY path HAVING sum(CASE WHEN dir = path THEN c ELSE 0 END) > 0"""
+)
+def tree_flattened(spark, sf):
+    return rollup.flattened(rollup.tree(_page_dirs(spark, sf), "dir"), "own", "path").select("path", "own")
+
+
 @query(
     """WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events),
     s AS (SELECT event_type, list_sort(list(value)) AS v FROM r WHERE r <= 512 GROUP BY event_type)
@@ -344,8 +410,17 @@ def as_of_purchase(spark, sf):
 TOKENS_SQL = r"SELECT DISTINCT doc_id, lang, n_chars, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS token FROM documents"
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def _index(spark, sf):
-    return text_search.index(table(spark, sf, "documents"), "doc_id", "text")
+    """The index of the documents' texts, which the first search of an application writes."""
+    made, at = text_search.index(table(spark, sf, "documents"), "doc_id", "text"), (spark.sparkContext.applicationId, sf)
+    if at not in _STORED:
+        path = f"{scratch.shared_dir(spark).rstrip('/')}/lensmill-index-{uuid.uuid4().hex}"
+        text_search.stored(made, path)
+        _STORED[at] = path
+    return spark.read.schema(made.schema).parquet(_STORED[at])
 
 
 @query(f"SELECT DISTINCT doc_id FROM ({TOKENS_SQL}) WHERE token LIKE 'token%' OR token LIKE 'thnd%'")
@@ -409,6 +484,22 @@ def vector_similar(spark, sf):
     return vector.top_k(rows, "vec_id", "embedding", vector.literal(own["embedding"]), 20, -1.0, exclude=7, digits=4).select("vec_id", "similarity")
 
 
+@query(
+    f"""WITH s AS (SELECT * FROM ({SIMILAR_SQL}) WHERE similarity >= 0.1 AND vec_id <> 3)
+        SELECT (SELECT count(*) FROM embeddings) AS scanned, (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 0) AS invalid, least(count(*) FILTER (vec_id % 10 <> 0), 50) AS hits,
+        max(similarity) FILTER (vec_id % 10 <> 0) AS best, true AS encoded FROM s"""
+)
+def search_account(spark, sf):
+    rows = table(spark, sf, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 20 == 0, F.slice("embedding", 1, 63)).when(F.col("vec_id") % 10 != 0, F.col("embedding")))
+    return vector.search_detailed(rows, "vec_id", "embedding", ONE_HOT, 50, 0.1, exclude=3)[1].withColumn("best", F.round("best", 4))
+
+
+@query("SELECT count(*) AS vectors, max(len(embedding)) AS dimension FROM embeddings WHERE label = 3")
+def search_stats(spark, sf):
+    rows = table(spark, sf, "embeddings").withColumn("space", F.concat(F.lit("s"), "label"))
+    return vector.space_stats(rows, "space", "s3", "embedding")
+
+
 CENTROIDS_SQL = """cells AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, unnest(range(1, 65)) t(i) GROUP BY label, i),
     centroids AS (SELECT label, list(m ORDER BY i) AS centroid FROM cells GROUP BY label)"""
 
@@ -444,7 +535,35 @@ def argmax_buckets(spark, sf):
     return vector.argmax_buckets(table(spark, sf, "embeddings"), "vec_id", "embedding")
 
 
-@query()
+SAMPLE_SQL = """list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(regexp_extract_all(hex(encode({0}::VARCHAR)), '..'), lambda h: ('0x' || h)::HUGEINT)),
+    lambda a, v: (xor(a, v) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"""
+GENERATION_SQL = f"""picked AS (SELECT *, list_position(embedding, list_max(embedding)) - 1 AS bucket FROM embeddings ORDER BY {SAMPLE_SQL.format("vec_id")}, vec_id LIMIT 300),
+    counted AS (SELECT bucket, count(*) AS members, row_number() OVER (ORDER BY bucket) - 1 AS number FROM picked GROUP BY bucket),
+    named AS (SELECT bucket, members, 'cluster-' || number || '-' || bucket AS cluster, members / (SELECT count(*) FROM picked) AS score FROM counted WHERE number < 8 AND members >= 5)"""
+
+
+@query(
+    f"""WITH {GENERATION_SQL}, cells AS (SELECT cluster, i, avg(embedding[i]::DOUBLE) AS m FROM picked JOIN named USING (bucket), unnest(range(1, 65)) t(i) GROUP BY cluster, i)
+    SELECT cluster, bucket, members, score, c.centroid FROM named JOIN (SELECT cluster, list(round(m, 6) ORDER BY i) AS centroid FROM cells GROUP BY cluster) c USING (cluster)"""
+)
+def cluster_generation(spark, sf):
+    found, _ = cluster.generation(table(spark, sf, "embeddings"), "vec_id", "embedding", size=300)
+    return found.withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
+
+
+@query(f"WITH {GENERATION_SQL} SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY vec_id) - 1 AS rank, vec_id FROM picked JOIN named USING (bucket) QUALIFY rank < 20")
+def cluster_generation_members(spark, sf):
+    return cluster.generation(table(spark, sf, "embeddings"), "vec_id", "embedding", size=300)[1]
+
+
+@query(
+    f"""WITH RECURSIVE pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE 1 - {cosine_sql("a.embedding", "b.embedding")} <= 0.6),
+    core AS (SELECT a AS k FROM pairs GROUP BY a HAVING count(*) + 1 >= 3),
+    links AS (SELECT a, b FROM pairs WHERE a IN (FROM core) AND b IN (FROM core)),
+    reach AS (SELECT k AS x, k AS y FROM core UNION SELECT r.x, l.b FROM reach r JOIN links l ON l.a = r.y),
+    rooted AS (SELECT x AS k, min(y) AS root FROM reach GROUP BY x)
+    SELECT e.vec_id, coalesce(r.root, (SELECT min(q.root) FROM pairs p JOIN rooted q ON q.k = p.b WHERE p.a = e.vec_id)) AS cluster, r.root IS NOT NULL AS core FROM embeddings e LEFT JOIN rooted r ON r.k = e.vec_id"""
+)
 def dbscan_clusters(spark, sf):
     return cluster.dbscan(table(spark, sf, "embeddings"), "vec_id", "embedding", eps=0.6, min_points=3)
 
@@ -483,8 +602,9 @@ def vector_space_state(spark, sf):
 
 @query("SELECT l_orderkey, arg_max(l_linenumber, (l_extendedprice, -l_linenumber)) AS l_linenumber FROM lineitem GROUP BY l_orderkey")
 def largest_per_group(spark, sf):
-    top = F.max(F.struct("l_extendedprice", (-F.col("l_linenumber")).alias("m")))["m"]
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg((-top).alias("l_linenumber"))
+    box = F.struct(F.lit(0.0).alias("left"), F.lit(0.0).alias("top"), F.col("l_extendedprice").alias("right"), F.lit(1.0).alias("bottom"))
+    faces = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", box.alias("box"))
+    return cluster.largest_per_photo(faces, "l_orderkey", "l_linenumber", "box").select("l_orderkey", "l_linenumber")
 
 
 @query("SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_size DESC, p_partkey) AS rank FROM part QUALIFY rank <= 20 AND count(*) OVER (PARTITION BY p_brand) >= 5")
@@ -574,9 +694,54 @@ def busy_windows(spark, sf):
 @query()
 def window_recommendations(spark, sf):
     now = F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
-    rows = table(spark, sf, "events")
-    found = sessions.busy_windows(rows, "event_type", "ts", sizes=(3, 5), factor=1.0)
-    return sessions.pick_apart(found.withColumn("score", F.col("density")), "event_type", "score").withColumn("now", now).drop("now")
+    rows = table(spark, sf, "events").filter("event_id % 7 < 2 or day(ts) between 8 and 15")  # a busy week for each kind
+    found = recommend.windows(rows, "event_type", "ts", F.col("value") / 100.0, F.col("user_id") % 2 == 0, now)
+    return found.select("event_type", "size", F.col("first_day").cast("string").alias("first_day"), F.col("last_day").cast("string").alias("last_day"), "n", "pick", F.round("score", 6).alias("score"))
+
+
+GLOBAL_SESSION_SQL = """kept AS (SELECT * FROM events WHERE event_type = 'purchase' AND user_id % 7 = 0),
+    marked AS (SELECT *, CASE WHEN floor((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 3600000000) > 6 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new
+        FROM kept WINDOW w AS (ORDER BY ts, event_id)),
+    numbered AS (SELECT *, sum(new) OVER (ORDER BY ts, event_id)::BIGINT AS session FROM marked)"""
+
+
+@query(f"WITH {GLOBAL_SESSION_SQL} SELECT session, count(*) AS n, (epoch_us(min(ts)) // 1000) AS first_ms, (epoch_us(max(ts)) // 1000) AS last_ms FROM numbered GROUP BY session HAVING count(*) >= 3")
+def library_events(spark, sf):
+    rows = table(spark, sf, "events").filter("event_type = 'purchase' and user_id % 7 = 0")
+    return sessions.events(rows, None, "ts", "event_id").select("session", "n", ms("first_at").alias("first_ms"), ms("last_at").alias("last_ms"))
+
+
+@query(
+    """WITH top AS (SELECT vec_id, label, CAST(vec_id % 13 AS DOUBLE) / 13 AS q, vec_id % 29 AS d, vec_id % 4 = 0 AS f, row_number() OVER (PARTITION BY label ORDER BY vec_id % 13 DESC, vec_id % 29 DESC, vec_id) AS r FROM embeddings QUALIFY r <= 20),
+    m AS (SELECT label, count(*) AS n, max(d) AS last, avg(q) AS quality, avg(CASE WHEN f THEN 1.0 ELSE 0.0 END) AS favourites FROM top GROUP BY label HAVING count(*) >= 5),
+    c AS (SELECT label, greatest(0.0, least(1.0, 1 - avg(CAST(vec_id % 17 AS DOUBLE) / 10) / 2)) AS cohesion FROM embeddings GROUP BY label)
+    SELECT label, n, round(cohesion, 6) AS cohesion, round(0.3 * quality + 0.3 * (1 - exp(-(100 - last) / 30.0)) + 0.2 * (1 - exp(-n / 10.0)) + 0.2 * cohesion, 6) AS score FROM m JOIN c USING (label)"""
+)
+def cluster_scores(spark, sf):
+    key, start = F.col("vec_id"), F.lit("2024-01-01").cast("date")
+    rows = table(spark, sf, "embeddings").select(key, "label", (key % 13 / 13.0).alias("quality"), F.date_add(start, (key % 29).cast("int")).cast("timestamp_ntz").alias("at"), (key % 4 == 0).alias("liked"), (key % 17 / 10.0).alias("distance"))
+    out = recommend.clusters(rows, "label", "distance", "at", "vec_id", "quality", F.col("liked"), F.date_add(start, 100).cast("timestamp_ntz"))
+    return out.select("label", "n", F.round("cohesion", 6).alias("cohesion"), F.round("score", 6).alias("score"))
+
+
+ALBUM_SQL = f"""SELECT '{{0}}' AS category, user_id::VARCHAR AS id, count(*) AS n, avg(value / 100.0) AS quality, avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END) AS favourites,
+    avg(CASE WHEN dayofweek(ts) IN (0, 6) THEN 1.0 ELSE 0.0 END) AS weekends, greatest(1, floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000)) AS span, max(ts) AS hi FROM events GROUP BY user_id"""
+
+
+@query(
+    f"""WITH a AS ({ALBUM_SQL.format("WHOLE_ALBUM")}),
+    albums AS (SELECT category, id, n, quality, {score_sql("(CASE WHEN n = 1 THEN 1.0 ELSE n / span END)", "floor((epoch_us(TIMESTAMP '2024-03-01') - epoch_us(hi)) / 86400000000)", "quality", "weekends", "favourites", (0.3, 0.3, 0.2, 0.1, 0.1))} AS score FROM a),
+    top AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, ts DESC, event_id) AS r FROM events WHERE event_type IS NOT NULL QUALIFY r <= 20),
+    m AS (SELECT event_type, count(*) AS n, avg(value / 100.0) AS quality, max(ts) AS hi, avg(CASE WHEN user_id % 2 = 0 THEN 1.0 ELSE 0.0 END) AS favourites FROM top GROUP BY event_type HAVING count(*) >= 5),
+    scenes AS (SELECT 'SCENE_THEME' AS category, event_type AS id, n, quality, round(0.4 * quality + 0.3 * (1 - exp(-greatest(floor((epoch_us(TIMESTAMP '2024-03-01') - epoch_us(hi)) / 86400000000), 0) / 30.0)) + 0.2 * (1 - exp(-n / 10.0)) + 0.1 * favourites, 6) AS score FROM m)
+    SELECT category, id, n, round(score + 0.35 * quality, 5) AS rank_score FROM (FROM albums UNION ALL FROM scenes)"""
+)
+def all_recommendations(spark, sf):
+    now, rows = F.lit("2024-03-01 00:00:00").cast("timestamp_ntz"), table(spark, sf, "events").withColumn("quality_", F.col("value") / 100.0)
+    whole = recommend.albums(rows, "user_id", "ts", F.col("quality_"), F.col("event_type") == "purchase", now).filter("not is_large")
+    themes = recommend.scenes(rows, "event_type", "ts", "event_id", "quality_", F.col("user_id") % 2 == 0, now)
+    out = recommend.ranked({"WHOLE_ALBUM": (whole, F.col("user_id")), "SCENE_THEME": (themes, F.col("event_type"))}, recommend.QUALITY)
+    return out.select("category", "id", "n", F.round("rank_score", 5).alias("rank_score"))
 
 
 @query(
@@ -605,10 +770,10 @@ def rotation_claims(spark, sf):
 
 @query(
     """SELECT p_partkey, p_brand, ((row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) - 1) // 20)::BIGINT AS chunk FROM part
-       WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey < 500)"""
+       WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1992-03-15')"""
 )
 def rotation_chunks(spark, sf):
-    claimed = table(spark, sf, "lineitem").filter("l_orderkey < 500").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    claimed = table(spark, sf, "lineitem").filter("l_shipdate < TIMESTAMP_NTZ '1992-03-15 00:00:00'").select(F.col("l_partkey").alias("p_partkey")).distinct()
     rows = sessions.leftovers(table(spark, sf, "part"), claimed, "p_partkey", ["p_size", "p_partkey"], group="p_brand")
     return rows.select("p_partkey", "p_brand", "chunk")
 
@@ -648,7 +813,7 @@ def identity_hashes(spark, sf):
     return table(spark, sf, "part").select("p_partkey", hashes.path_key(name).alias("path_key"), hashes.short_path_hash(name).alias("short_key"), space.alias("space"), hashes.name_uuid(name).alias("uuid"))
 
 
-@query()
+@query(f"SELECT doc_id FROM documents ORDER BY {SAMPLE_SQL.format('doc_id')}, doc_id LIMIT 256")
 def bottom_k_sample(spark, sf):
     return cluster.sample(table(spark, sf, "documents").select("doc_id"), "doc_id", 256)
 
@@ -681,7 +846,9 @@ def captured_times(spark, sf):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def feature_json(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    told = F.to_json(F.struct(F.array(F.col("value").cast("float")).alias("vector"), F.from_json("props", "map<string, string>").alias("metadata")))
+    rows = table(spark, sf, "events").select("event_id", codecs.decode_feature(told).alias("feature"))
+    return rows.select("event_id", F.col("feature.metadata")["k"].cast("long").alias("k"))
 
 
 @query("SELECT event_id, event_type AS fileName, (epoch_us(ts) // 1000) AS capturedAtMs, user_id AS fileSize FROM events")
@@ -712,10 +879,8 @@ def image_scenes(spark, sf):
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_live_counts(spark, sf):
-    import uuid
-
-    schema = table(spark, sf, "events").schema
-    name = f"live_{uuid.uuid4().hex}"
+    root = f"{scratch.shared_dir(spark).rstrip('/')}/lensmill-live-{uuid.uuid4().hex}"
+    store, schema = Store(spark, root), table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    live.live_counts(stream.select("event_type"), "event_type", name).awaitTermination()
-    return spark.table(name)
+    live.counts_into(stream.select("event_type"), "event_type", store, "counts", f"{root}/checkpoint").awaitTermination()
+    return store.read("counts")

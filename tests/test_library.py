@@ -494,8 +494,8 @@ def test_streams(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/in")
     store = Store(spark, f"file://{tmp_path}/s")
     for _ in range(2):  # the second run finds nothing new
-        live.merge_into(live.watch(spark, f"{tmp_path}/in", "k int, g string"), store, "t", "k", checkpoint=f"{tmp_path}/c").awaitTermination()
-    assert store.read("t").count() == 3
+        live.merge_into(live.watch(spark, f"{tmp_path}/in", "k int, g string"), store, "t", "g", time="k", checkpoint=f"{tmp_path}/c").awaitTermination()
+    assert sorted((r["k"], r["g"]) for r in store.read("t").collect()) == [(2, "a"), (3, "b")]
     files = spark.createDataFrame([("/a",), ("/a",), ("/b",)], "filePath string")
     files.write.parquet(f"{tmp_path}/files")
     stream = live.watch(spark, f"{tmp_path}/files", "filePath string")
@@ -525,3 +525,222 @@ def test_library_collects_no_tables():
         text = f.read_text()
         assert ".toPandas(" not in text and "localCheckpoint" not in text, f
         assert text.count(".collect()") <= (2 if f.name == "vector.py" else 0), f
+
+
+def plain_priority(text):
+    h = 0xCBF29CE484222325
+    for byte in text.encode():
+        h = (h ^ byte) * 0x100000001B3 % 2**64
+    return (h ^ 2**63) - (2**64 if h ^ 2**63 >= 2**63 else 0)
+
+
+def test_path_priority(spark):
+    # Known values of 64-bit FNV-1a: "", "a" and "foobar".
+    assert [int(h) for h in hashes.fnv1a(["", "a", "foobar"])] == [0xCBF29CE484222325, 0xAF63DC4C8601EC8C, 0x85944171F73967E8]
+    paths = ["", "a", "/storage/emulated/0/DCIM/é 图.jpg", None, "x" * 300, *(f"/album/{i}.jpg" for i in range(50))]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string")
+    got = {r["i"]: r["h"] for r in df.select("i", hashes.fnv1a_priority(F.col("p")).alias("h")).collect()}
+    assert all(got[i] == (None if p is None else plain_priority(p)) for i, p in enumerate(paths))
+    assert min(got[i] for i in got if got[i] is not None) < 0
+    want = sorted((plain_priority(p), p) for p in paths if p is not None)[:20]
+    picked = cluster.sample(df.filter("p is not null").select("p"), "p", 20)
+    assert sorted(r["p"] for r in picked.collect()) == sorted(p for _, p in want)
+
+
+def test_directory_summary_of_paths(spark):
+    rows = [("/x", "/x/2.jpg", 5, "t2"), ("/x", "/x/1.jpg", 5, None), ("/x", "/x/0.jpg", None, "t0"), ("/y", "/y/9.jpg", 1, "t9"), (None, "/z.jpg", None, None)]
+    df = spark.createDataFrame(rows, "d string, p string, t long, th string")
+    got = {r["d"]: tuple(r)[1:] for r in rollup.directory_summary(df, "d", "t", "p", "th").collect()}
+    assert got == {"/x": (3, 5, "/x/1.jpg", None), "/y": (1, 1, "/y/9.jpg", "t9"), None: (1, None, "/z.jpg", None)}
+    for kind in ("timestamp", "timestamp_ntz", "date"):
+        timed = df.withColumn("t", F.date_add(F.lit("2024-01-01").cast("date"), F.col("t").cast("int")).cast(kind))
+        assert {r["d"]: r["cover_path"] for r in rollup.directory_summary(timed, "d", "t", "p").collect()}["/x"] == "/x/1.jpg"
+
+
+def test_components_of_a_long_path(spark):
+    n = 300
+    nodes = spark.range(n).select(F.col("id").alias("node"))
+    edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert [r["root"] for r in cluster.connected(nodes, edges).select("root").distinct().collect()] == [0]
+
+
+def test_sessions_equal_a_scan(spark):
+    import datetime
+    import random
+
+    rng, start = random.Random(3), datetime.datetime(2024, 1, 1)
+    rows = [(i, rng.choice("ab"), start + datetime.timedelta(minutes=rng.randrange(0, 40000)), rng.choice([None, 10.0, 10.2]), 5.0) for i in range(300)] + [(900, "a", None, None, None), (901, None, start, None, None)]
+    df = spark.createDataFrame(rows, "k int, g string, t timestamp_ntz, la double, lo double")
+    for group, place in ((None, None), ("g", None), (None, ("la", "lo")), ("g", ("la", "lo"))):
+        want, last, number = {}, {}, {}
+        for k, g, t, la, lo in sorted(rows, key=lambda r: (r[2] is not None, r[2] or start, r[0])):
+            g = g if group else "all"
+            new = g not in last or t is None or last[g][0] is None or (t - last[g][0]).total_seconds() // 3600 > 6
+            if not new and place and la is not None and last[g][1] is not None:
+                new = abs(la - last[g][1]) > 0.1  # 22 km
+            last[g], number[g] = (t, la), number.get(g, 0) + new
+            want[k] = number[g]
+        got = {r["k"]: r["session"] for r in sessions.sessions(df, group, "t", "k", place=place).collect()}
+        assert got == want, (group, place)
+
+
+def test_eviction_of_groups_equals_a_scan(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "b", None]), rng.randrange(0, 10**8), rng.randrange(1, 50), rng.random() < 0.1) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, g string, t long, s int, held boolean")
+    for group in (None, "g"):
+        want = set()
+        for name in {r[1] for r in rows} if group else {"all"}:
+            mine = [r for r in rows if not group or r[1] == name]
+            total = sum(r[3] for r in mine)
+            for k, _, _, s, held in sorted(mine, key=lambda r: (r[2], r[0])):
+                if not held and total > 300:
+                    want.add(k)
+                    total -= s
+        got = {r["k"] for r in sessions.evicted(df, "t", "s", ["k"], budget=300, protected=F.col("held"), group=group).collect()}
+        assert got == want
+
+
+def test_concepts_of_texts_equal_the_plain_rule(spark):
+    import random
+
+    rng = random.Random(5)
+    terms = [t for each in features.CONCEPTS for t in each]
+    texts = [None, "", "  ", "Sunset", " at the BEACH, dogs!", "日落", "我的海边旅行", "zzz", "b&w", "close-up", "sun", "山", "fall foliage"] + [" ".join(rng.choice(terms)[: rng.randrange(1, 9)] for _ in range(rng.randrange(1, 4))) for _ in range(150)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("t", features.embed_text(F.col("t")).alias("v")).collect():
+        np.testing.assert_allclose(r["v"], features.text_vector(r["t"] or ""), atol=1e-6, err_msg=str(r["t"]))
+
+
+def test_prototypes_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.normal(0, 1, 4)]) for i in range(40)] + [(40, None), (41, [0.0] * 4), (42, [1.0])], "k int, v array<float>")
+    known = spark.createDataFrame([(f"p{i:02}", [float(x) for x in rng.normal(0, 1, 4)]) for i in range(25)] + [("zz", [0.0] * 4)], "p string, w array<float>")
+    want = {r["k"]: (r["prototype"], round(r["distance"], 5)) for r in vector.nearest_prototype(rows, "v", known, "p", "w").collect()}
+    monkeypatch.setattr(vector, "LITERAL_PROTOTYPES", 3)
+    monkeypatch.setattr(vector, "BLOCK_PROTOTYPES", 7)
+    got = {r["k"]: (r["prototype"], round(r["distance"], 5)) for r in vector.nearest_prototype(rows, "v", known, "p", "w").collect()}
+    assert {k: got[k] for k in range(40)} == {k: want[k] for k in range(40)} and got[41][1] == want[41][1] == 2.0
+    near = vector.nearest_prototype(rows, "v", known, "p", "w", most=0.2).collect()
+    assert all((r["prototype"] is None) == (r["distance"] > 0.2) for r in near if r["k"] < 40)
+
+
+def test_search_account(spark):
+    rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0]), ("d", None), ("e", [float("nan"), 1.0]), ("f", [0.0, 1.0])], "k string, v array<float>")
+    hits, about = vector.search_detailed(rows, "k", "v", [1.0, 0.0], 5, 0.1, exclude="a")
+    assert [r["k"] for r in hits.collect()] == ["b"] and tuple(about.select("scanned", "invalid", "hits", "encoded").first()) == (6, 3, 1, True)
+    hits, about = vector.search_detailed(rows, "k", "v", [0.0, 0.0])
+    assert hits.count() == 0 and not about.first()["encoded"]
+
+
+def test_one_ranked_list(spark):
+    parts = {}
+    for category, made in (("WHOLE_ALBUM", [("b", 0.5, 0.1), ("a", 0.5, 0.1)]), ("EVENT", [("c", 0.4, 0.9)])):
+        rows = spark.createDataFrame([(n, 5, q, 0.0, s) for n, s, q in made], "name string, n long, quality double, favourites double, score double")
+        rows = rows.withColumn("first_at", F.lit("2020-01-01 00:00:00").cast("timestamp")).withColumn("last_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+        parts[category] = (rows, F.col("name"))
+    now = F.lit("2024-01-16 00:00:00").cast("timestamp")
+    order = lambda p, **k: [(r["id"], round(r["rank_score"], 4)) for r in recommend.ranked(parts, p, now, **k).collect()]
+    assert order(recommend.BALANCED) == [("a", 0.5), ("b", 0.5), ("c", 0.4)]
+    assert order(recommend.QUALITY, most=2) == [("c", 0.715), ("a", 0.535)]
+    assert order(recommend.MEMORIES)[0] == ("a", 0.85) and order(recommend.RECENT)[0] == ("a", 0.675)
+
+
+def test_window_recommendations_equal_a_scan(spark):
+    import datetime
+
+    start = datetime.date(2024, 1, 1)
+    busy = {"x": set(range(20, 27)), "y": {5, 6, 7, 8, 9, 10, 11, 40, 41, 42, 43, 44, 45, 46}}
+    rows = [(album, start + datetime.timedelta(days=d), (d * 7 + k) % 10 / 10, k % 3 == 0) for album in busy for d in range(60) for k in range(9 if d in busy[album] else 1)]
+    df = spark.createDataFrame([(a, datetime.datetime.combine(d, datetime.time(12)), q, f) for a, d, q, f in rows], "a string, t timestamp_ntz, q double, f boolean")
+    now = datetime.datetime(2024, 6, 1)
+    got = recommend.windows(df, "a", "t", F.col("q"), F.col("f"), F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")).collect()
+    assert {r["a"] for r in got} == {"x", "y"}
+    for r in got:
+        mine = [x for x in rows if x[0] == r["a"] and r["first_day"] <= x[1] <= r["last_day"]]
+        density = len(mine) / r["size"]
+        age = (now - datetime.datetime.combine(r["last_day"], datetime.time(12))).days
+        weekend = sum(x[1].weekday() >= 5 for x in mine) / len(mine)
+        want = 0.3 * min(1, np.log1p(density) / np.log(11)) + 0.25 * (1 - np.exp(-age / 30)) + 0.2 * np.mean([x[2] for x in mine]) + 0.15 * weekend + 0.1 * np.mean([x[3] for x in mine])
+        assert r["n"] == len(mine) and abs(r["score"] - want) < 1e-9
+    for a in "xy":
+        spans = sorted((r["first_day"], r["last_day"]) for r in got if r["a"] == a)
+        assert all((b[0] - x[1]).days > 3 for x, b in zip(spans, spans[1:])) and len(spans) <= 3  # noqa: B905
+
+
+def test_stored_index_is_pruned(spark, tmp_path):
+    docs = spark.range(2000).select(F.col("id").alias("k"), F.concat(F.lit("word"), F.col("id") % 500, F.lit(" common")).alias("t"))
+    idx = text_search.stored(text_search.index(docs, "k", "t"), f"file://{tmp_path}/i", 4)
+    assert idx.count() == 4000 and text_search.token_and(idx, "k", "common word7").count() == 4
+    plan = text_search.prefix_or(idx, "k", "word12")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(token,word12)" in plan
+
+
+def test_archives(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    rows = media(spark, [{"filePath": "/a", "mediaType": "IMAGE", "modifiedAtMs": 1, "fileSize": 2, "isTrashed": False}, {"filePath": "/b", "mediaType": "VIDEO", "isTrashed": False}, {"filePath": "/c", "mediaType": "IMAGE", "isTrashed": True}])
+    meta = spark.createDataFrame([("s1", True), ("s2", True)], "spaceId string, isActive boolean")
+    vectors_ = spark.createDataFrame([("/a", "s1")], "filePath string, spaceId string")
+    tables = {"media_items": rows, "semantic_index_meta": meta, "media_embeddings": vectors_}
+    store.save(faces=vectors_, scan_runs=meta, other=meta)
+    backup.export_zip(tables, f"file://{tmp_path}/out", f"{tmp_path}/a.zip")
+    shapes = {n: df.schema for n, df in tables.items()}
+    assert backup.restore_zip(spark, f"{tmp_path}/a.zip", f"file://{tmp_path}/in", shapes, store, now=7) == {"media_items": 3, "semantic_index_meta": 2, "media_embeddings": 1}
+    assert sorted(map(str, store.read("media_items").collect())) == sorted(map(str, rows.collect()))
+    assert {r["spaceId"]: r["isActive"] for r in store.read("semantic_index_meta").collect()} == {"s1": True, "s2": False}
+    assert [(r["filePath"], r["sourceVersion"], r["status"], r["createdAt"]) for r in store.read("analysis_tasks").collect()] == [("/a", "1:2", "PENDING", 7)]
+    assert sorted(r["filePath"] for r in store.read("thumbnail_tasks").collect()) == ["/a", "/b"]
+    assert store.read("faces").count() == 0 and store.read("scan_runs").count() == 0 and store.read("other").count() == 2
+    before = store.pointer()
+    for i, change in enumerate(("drop", "extra", "edit")):
+        bad = f"{tmp_path}/{change}.zip"
+        with zipfile.ZipFile(f"{tmp_path}/a.zip") as old, zipfile.ZipFile(bad, "w") as new:
+            for n in old.namelist():
+                if change != "drop" or n != "media_embeddings.ndjson":
+                    new.writestr(n, old.read(n).replace(b"/b", b"/x") if change == "edit" else old.read(n))
+            if change == "extra":
+                new.writestr("more.ndjson", "{}")
+        with pytest.raises(backup.BackupError):
+            backup.restore_zip(spark, bad, f"file://{tmp_path}/in{i}", shapes, store)
+    assert store.pointer() == before
+
+
+def test_maintenance_goes_on_where_it_stopped(spark, tmp_path):
+    from lensmill.plans import maintenance
+
+    store = Store(spark, f"file://{tmp_path}/s")
+    rows = [(f"/{i:02}", 10 + i % 3, f"content {i % 4}") for i in range(24)] + [("/99", 10, None)]
+    media_rows = spark.createDataFrame(rows, "filePath string, fileSize long, body string")
+    content = F.col("body").cast("binary")
+    assert not maintenance.exact_duplicates(store, media_rows, content, size=7, steps=2)
+    run = store.read("maintenance_runs").first()
+    assert (run["status"], run["scannedCount"], run["cursorPath"], run["isActive"]) == ("RUNNING", 14, "/13", False) and not store.exists("duplicate_groups")
+    assert maintenance.exact_duplicates(store, media_rows, content, size=7, steps=10)
+    run = store.read("maintenance_runs").first()
+    assert (run["status"], run["generation"], run["scannedCount"], run["eligibleCount"], run["failedCount"], run["isActive"]) == ("COMPLETED", 1, 25, 24, 1, True)
+    want = {}
+    for p, _, body in rows[:-1]:
+        want.setdefault(body, []).append(p)
+    members = store.read("duplicate_members").collect()
+    assert sorted(r["filePath"] for r in members) == sorted(p for g in want.values() for p in g) and sum(r["keep"] for r in members) == 4
+    assert store.read("duplicate_exact_staging").count() == 0
+    assert maintenance.exact_duplicates(store, media_rows.filter("filePath < '/12'"), content, size=50)
+    assert sorted((r["generation"], r["isActive"]) for r in store.read("maintenance_runs").collect()) == [(1, False), (2, True)]
+    broken = maintenance.Maintenance(store, "DUPLICATE_EXACT")
+    broken.fail()
+    assert not broken.step(media_rows, 5, lambda b: b) and not broken.finish(lambda b: {})
+    assert maintenance.Maintenance(store, "DUPLICATE_EXACT").generation == 4
+
+
+def test_a_scan_writes_the_media_table_once(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    row = lambda p, n: media(spark, [{"filePath": p, "modifiedAtMs": n, "fileSize": 1}])
+    run = pipeline.ScanRun(store, 10)
+    for i in range(4):
+        run.commit(row("/a", i).unionByName(row(f"/{i}", i)))
+    assert not store.exists("media_items")
+    run.merge()
+    got = {r["filePath"]: r["modifiedAtMs"] for r in store.read("media_items").collect()}
+    assert got == {"/a": 3, "/0": 0, "/1": 1, "/2": 2, "/3": 3} and store.read("scan_staging").count() == 0
