@@ -102,7 +102,7 @@ def conversations(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[t
 def format_chats(
     turns: DataFrame,
     *,
-    tokenizer: str = "/opt/tokenizers/byte_bpe_50k.json",
+    tokenizer: str,
     conv_col: str = "conv_id",
     turn_col: str = "turn",
     role_col: str = "role",

@@ -235,6 +235,7 @@ def first_pass(docs: DataFrame, index: Items, text_col: str, keep: str | None):
     if keep:
         rows, _ = common.written(rows, "hits")
     counts = rows.filter("k is not null").groupBy("k").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
+    sent.destroy()  # all that used it is written or collected
     by = {r["k"]: r["n"] for r in counts}
     index.weigh(by.pop(-1, 0), by)
     return spark.sparkContext.broadcast(index), rows.filter("k is null").select("doc", "text") if keep else None

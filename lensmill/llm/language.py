@@ -133,13 +133,16 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array([-1, *at.tolist()], pa.int64()), pa.array([0, *n[at].tolist()], pa.int64())], names=["lang", "k", "n"])
 
     summed = known.mapInArrow(counts, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
-    by: dict[str, np.ndarray] = {}
-    for r in summed.toLocalIterator():  # at most MOST_LANGUAGES times WIDTH rows
-        counted = by.setdefault(r["lang"], np.zeros(WIDTH))
-        if len(by) > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
-        if r["k"] >= 0:
-            counted[r["k"]] = r["n"]
+
+    def packed(table: pa.Table) -> pa.Table:  # at most WIDTH + 1 rows a language
+        n, k = np.zeros(WIDTH, np.int64), table.column("k").to_numpy()
+        n[k[k >= 0]] = table.column("n").to_numpy()[k >= 0]
+        return pa.table({"lang": [table.column("lang")[0].as_py()], "counts": pa.array([n.tobytes()], pa.binary())})
+
+    rows = summed.groupBy("lang").applyInArrow(packed, "lang string, counts binary").limit(MOST_LANGUAGES + 1).collect()
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    by = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in rows}
     langs = sorted(by)
     if not langs:
         return {"langs": [], "logp": None}

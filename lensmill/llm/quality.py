@@ -149,6 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     if len(counted) < 2:
         return {"constant": (counted.get(1, 0) + 1) / (total + 2)}
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(common.small(known, total), "id").select("y", "text", "id")
+    if total > common.BROADCAST_ROWS:  # the join shuffles texts: once, and not for counts and sample each
+        texts, _ = common.written(texts, "labelled")
 
     def counts(it):
         by = np.zeros((2, WIDTH), np.int64)

@@ -64,8 +64,7 @@ def crc32_sql(text: str) -> str:
 def mixing_sql(source: str, seed: str = "mix") -> str:
     """CTEs up to mixed, with doc_id, size, source_size, target and taken."""
     return rf"""
-    sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
-]+')), 0) AS size,
+    sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
               md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS hash FROM {source}),
     totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
     weighed AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM totals),
@@ -105,6 +104,8 @@ def op2_language_mixture(spark, sf):
     return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+#: The tokenizer's description, which the driver reads.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: A conversation whose texts are made of another template's control strings.
 TRICKY = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -120,7 +121,7 @@ TRICKY = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[I
 def op3_chat_masks(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.createDataFrame(TRICKY, "conv_id long, turn long, role string, text string")
-    chats = chat.format_chats(turns.unionByName(tricky))
+    chats = chat.format_chats(turns.unionByName(tricky), tokenizer=TOKENIZER)
     return chat.digests(chats).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 

@@ -90,7 +90,7 @@ def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url") -> DataFr
     """
     pages = pages.drop(*[c for c in ("host", "path", "rule", "pattern", "verdict") if c != url_col])
     url = F.col(url_col)
-    urls = pages.select(host_of(url).alias("host"), path_of(url).alias("path")).distinct()
+    urls, _ = common.written(pages.select(host_of(url).alias("host"), path_of(url).alias("path")).distinct(), "urls")  # used twice
     tokens = F.array_distinct(F.split(ascii_lower(F.concat("host", "path")), "[^a-z0-9]+"))
     urls = urls.withColumn("token", F.explode(F.concat(F.filter(tokens, lambda t: t != ""), F.array(F.lit("")))))
 

@@ -1,5 +1,6 @@
 """Each operator against brute force, and on nulls, empty texts, ties, repeats, empty tables and clashing names."""
 
+import functools
 import hashlib
 import random
 import re
@@ -12,9 +13,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lensmill.llm import chat, common, decontaminate, html_text, jaccard_join, language, mixing, quality, sharding, tiff, url_filter
+from lensmill.llm import chat, common, decontaminate, html_text, jaccard_join, language, mixing, quality, queries, sharding, tiff, url_filter
 
 DOC = "doc_id long, text string, lang string, source string"
+format_chats = functools.partial(chat.format_chats, tokenizer=queries.TOKENIZER)
 
 
 def docs_of(spark, rows, schema=DOC):
@@ -214,6 +216,27 @@ def test_em_finds_the_likeliest_mixture():
     assert abs(theta[0] - max(grid)[1]) < 0.02 and ll >= max(grid)[0] - 0.01
 
 
+def test_language_sets_equal_all_subsets(spark):
+    """The set that grows from the best language is the best of all sets by penalised likelihood."""
+    from itertools import combinations
+
+    rng = random.Random(7)
+    model = language.train(docs_of(spark, [(i, talk(rng, lang), lang, "s") for i, lang in enumerate(list(LANGS) * 20)]))
+    for trial in range(60):
+        parts = rng.sample(list(LANGS), 1 + trial % 3)
+        text = " ".join(talk(rng, lang, rng.choice([8, 20, 60])) for lang in parts)
+        s = language.word_scores(text, model["logp"].value)
+        worth = {}
+        for n in (1, 2, 3):
+            for some in combinations(range(3), n):
+                worth[some] = language.proportions(s[:, list(some)], 2000)[1] - (n - 1) * language.PENALTY * np.log(len(s) + 1)
+        chosen, theta = language.mixture(s)
+        assert worth[tuple(sorted(chosen))] >= max(worth.values()) - 0.5 and abs(theta.sum() - 1) < 1e-6
+        best = max(worth, key=worth.get)
+        if worth[best] - sorted(worth.values())[-2] > 0.5:
+            assert tuple(sorted(chosen)) == best
+
+
 # --- 3: chat --------------------------------------------------------------------------------
 
 TOKENS = st.lists(st.sampled_from([*chat.CONTROLS, "\\", "<", ">", "[", "/", "s", " ", "\n", "é", "日", "😀", "a", "INST]", "|im_end|>"]), max_size=14).map("".join)
@@ -245,12 +268,12 @@ def test_masks_cover_the_texts(turns):
 def test_chats(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, None, None), (2, None, "assistant", "x"), (None, 0, "user", "n"), (1, 1, "assistant", "b"), (-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("loss_mask", F.lit(1))
-    got = {r["conv_id"]: r for r in chat.digests(chat.format_chats(df)).collect()}
+    got = {r["conv_id"]: r for r in chat.digests(format_chats(df)).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got[1]["n_turns"] == 3 and got[1]["turns_sha256"] == sha("user\na\nassistant\nb\nassistant\nb\n") and got[1]["loss_sha256"] == sha("bb")
     assert got[2]["turns_sha256"] == sha("assistant\nx\n\n\n") and got[None]["loss_chars"] == 0
     assert got[-7]["loss_sha256"] == sha("</s>[INST] ok [/INST]") and len(got) == 4
-    assert chat.format_chats(df.limit(0)).count() == 0
+    assert format_chats(df.limit(0)).count() == 0
 
 
 # --- 4: decontamination ---------------------------------------------------------------------
@@ -503,6 +526,65 @@ def test_quality(spark):
     assert quality.score_quality(df.limit(0), model).count() == 0
 
 
+def plain_grams(text):
+    """The features of a text, one by one, in whole numbers of Python."""
+    mask, c = (1 << 64) - 1, [48 if 48 <= ord(x) <= 57 else ord(x) for x in text]
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return (x ^ x >> 31) % quality.WIDTH
+
+    found = set()
+    for n in range(1, 5):
+        for i in range(len(c) - n + 1):
+            h = 0
+            for k in range(n):
+                h = (h * 0x9E3779B97F4A7C15 + c[i + k] + k + 1) & mask
+            found.add(mixed(h))
+    kind = [0 if x <= 32 else 1 if 97 <= x <= 122 else 2 if 65 <= x <= 90 else 3 if x == 48 else 4 if x > 127 else x for x in c]
+    runs = []
+    for x in kind:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    shape = [4 * x + min(n, 3) for x, n in runs]
+    for n in range(1, 4):
+        for i in range(len(shape) - n + 1):
+            h = shape[i] + (1 << 40)
+            for k in range(1, n):
+                h = (h * 0x9E3779B97F4A7C15 + shape[i + k] + (k << 50)) & mask
+            found.add(mixed(h))
+    words = text.split()
+    same = bytes(a == b for a, b in zip(words, words[1:], strict=False))
+    return sorted(found | {i for i, p in enumerate(quality.REPEATS) if p in same})
+
+
+def test_quality_equals_plain_counts(spark):
+    """Features, counts, ratios, fit and scores against loops over the rows."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["the", "The", "cat", "12", "win$$$", "é", "the the"]) for _ in range(rng.randrange(0, 30))), None, "s") for i in range(80)] + [(80, None, None, "s"), (80, "again", None, "s")]
+    labels = {i: int(i % 3 > 0) for i in range(0, 81, 2)}
+    model = quality.train(docs_of(spark, rows), spark.createDataFrame(list(labels.items()), "doc_id long, quality int"))
+    for _, t, _, _ in rows:
+        assert quality.grams(t).tolist() == (plain_grams(t) if t else [])
+    pos, neg = np.ones(quality.WIDTH), np.ones(quality.WIDTH)
+    known = [(labels[i], plain_grams(t) if t else []) for i, t, _, _ in rows if i in labels]
+    for y, at in known:
+        (pos if y else neg)[at] += 1
+    r = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
+    np.testing.assert_allclose(model["r"].value, r, rtol=1e-5, atol=1e-6)
+    order = sorted(known, key=lambda x: (x[0], len(x[1]), np.array(x[1], np.int32).tobytes()))
+    w, a, b = quality.fit([np.array(x[1], np.int64) for x in order], np.array([x[0] for x in order]), r.astype(np.float32))
+    np.testing.assert_allclose(model["w"], w, rtol=1e-3, atol=1e-4)
+    for i, row in enumerate(quality.score_quality(docs_of(spark, rows), model).collect()):
+        at = plain_grams(rows[i][1]) if rows[i][1] else []
+        x = r[at] / max(np.sqrt((r[at] ** 2).sum()), 1e-9)
+        want = 1 / (1 + np.exp(-(a * (w[at] @ x + w[quality.WIDTH]) + b)))
+        assert abs(row["score"] - want) < 1e-3
+
+
 def test_descent_reaches_the_optimum():
     """The duality gap closes, which no other point than the optimum does."""
     rng = np.random.default_rng(4)
@@ -744,3 +826,59 @@ def test_weighted_shards(spark):
     assert moved == 0
     with pytest.raises(ValueError):
         sharding.rendezvous(F.col("x"), [0.0])
+
+
+# --- all: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing names ----
+
+#: Names that operators use for columns of their own.
+CLASHES = """size score host path rule t doc node n d1 d2 sig sketch carried key comp first copies k hash_ cell_ src_ media n_bytes page samples feature error shard slot cell
+    digest noisy_ of_ host_ path_ stays rows gone_ copy_ taken target source_size sum_ number_ whole_ last_ tied_ full_ part at of_shard of_cell hot group least links item_id similarity
+    lang_pred proportions held_out token verdict pattern n_chars formatted loss_mask blocks a_ b_ own_ text_crc32 law grown_shard predicted y id""".split()
+LONG = "The quick brown fox jumps over a lazy dog 12 times. " * 100_000
+
+
+def odd_docs(spark):
+    rows = [(1, "plain words of a first text", "en", "a"), (1, "plain words of a first text", "en", "a"), (1, "another text with the same id", "en", "a"), (None, "plain words of a first text", None, None), (None, None, None, None), (2, None, "en", "b"), (3, "", "en", "b"), (4, " \t\n ", "fr", "b"), (5, LONG, "en", "a"), (6, "\u0000 \U0001f600 e\u0301", "xx", ""), (7, "one", "en", "a"), (8, "one", "en", "a")]
+    return docs_of(spark, rows).withColumns({c: F.lit("clash") for c in CLASHES})
+
+
+def odd_cases(spark):
+    bench = spark.createDataFrame([(1, "words of a first text"), (None, "one"), (2, None), (3, ""), (4, "another text with the same id")], "item_id int, text string")
+    labels = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (7, None), (8, 1), (2, 0), (3, 5)], "doc_id long, quality int")
+    docs = odd_docs(spark)
+    model, langs = quality.train(docs, labels), language.train(docs.filter(~language.held_out("doc_id")))
+    pages = lambda d: d.withColumn("url", F.concat(F.lit("http://h.com/"), "doc_id")).withColumn("html", F.concat(F.lit("<p>"), "text"))
+    files = lambda d: tiff.joined_pages(tiff.read_pages(tiff.payload_files(d)), ["doc_id", "n_bytes", "media"])
+    chats = lambda d: format_chats(d, conv_col="doc_id", turn_col="source", role_col="lang")
+    return docs, {
+        "jaccard_join": (jaccard_join.jaccard_join, 12),
+        "without_near_duplicates": (jaccard_join.without_near_duplicates, 9),
+        "identify": (lambda d: language.identify(d, langs), 12),
+        "language train": (lambda d: language.identify(docs, language.train(d)), 12),
+        "format_chats": (lambda d: chat.digests(chats(d), "doc_id"), 9),
+        "find_leaks": (lambda d: decontaminate.find_leaks(d, bench), 4),
+        "decontaminate": (lambda d: decontaminate.decontaminate(d, bench), 8),
+        "payloads": (files, 12),
+        "score_quality": (lambda d: quality.score_quality(d, model), 12),
+        "quality train": (lambda d: quality.score_quality(docs, quality.train(d, labels)), 12),
+        "extract": (lambda d: html_text.extract(pages(d)), 12),
+        "judge": (lambda d: url_filter.judge(pages(d), url_filter.rule_table(spark, SITES)), 12),
+        "mix": (mixing.mix, 12),
+        "shard": (sharding.shard, 12),
+    }
+
+
+def test_odd_rows_and_names(spark):
+    docs, cases = odd_cases(spark)
+    for name, (run, rows) in cases.items():
+        out = run(docs)
+        got = out.collect()
+        assert len(got) == rows, name
+        if name in ("without_near_duplicates", "decontaminate"):
+            assert out.columns == docs.columns
+        if "text" in out.columns and name != "extract":
+            assert any(r["text"] == LONG for r in got), name
+        if name not in ("language train", "quality train"):
+            assert run(docs.limit(0)).count() == 0, name
+        else:
+            run(docs.limit(0)).count()
