@@ -33,6 +33,21 @@ def ignore(existing: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     return existing.unionByName(new.join(existing.select(*keys), list(keys), "left_anti"))
 
 
+def missing(df: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
+    """Rows of df whose key is not in done: what is still to do."""
+    return df.join(done.select(*keys), list(keys), "left_anti")
+
+
+def common_keys(df: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
+    """Distinct keys that both tables have."""
+    return df.select(*keys).join(other.select(*keys), list(keys), "left_semi").distinct()
+
+
+def stale(df: DataFrame, version: str, current) -> DataFrame:
+    """Rows of another version than the current one; rows without a version are not known to be stale."""
+    return df.filter(F.col(version) != current)
+
+
 def abort(existing: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """Both tables; a key that occurs twice fails the query when it runs."""
     both = existing.unionByName(new)

@@ -5,8 +5,10 @@ A provider is Python code that the application registers; nothing is loaded from
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import MISSING, asdict, dataclass, field
+from dataclasses import fields as dataclass_fields
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,45 @@ SLOTS = {"face": DETECTION, "scene": CLASSIFICATION, "semantic": FEATURE, "quali
 STAGES = ("PRE", "MAIN", "POST")
 
 
+class ManifestError(ValueError):
+    """The JSON is no manifest or schema."""
+
+
+#: Names of a manifest's fields in JSON.
+FIELDS = {"plugin_id": "pluginId", "name": "name", "version": "version", "kind": "kind", "stage": "pipelineStage", "order": "order", "enabled": "enabled", "shape": "shape", "options": "options"}
+DATA_TYPES = ("FLOAT", "INT", "STRING", "BOOLEAN", "FLOAT_ARRAY")
+
+
+def parsed_object(text: str) -> dict:
+    try:
+        obj = json.loads(text)
+    except ValueError as e:
+        raise ManifestError(f"no JSON: {e}") from None
+    if not isinstance(obj, dict):
+        raise ManifestError("no JSON object")
+    return obj
+
+
+def parsed(text: str, cls: type) -> dict:
+    """A dataclass's arguments from JSON, by FIELDS; fields that it does not know are passed over."""
+    obj, out = parsed_object(text), {}
+    kinds = {"str": str, "int": int, "bool": bool, "dict": dict}
+    for f in dataclass_fields(cls):
+        key = FIELDS[f.name]
+        if key not in obj or obj[key] is None:
+            if f.default is MISSING and f.default_factory is MISSING:
+                raise ManifestError(f"{key} is missing")
+        elif f.name == "shape":
+            if not isinstance(obj[key], list) or any(not isinstance(x, int) for x in obj[key]):
+                raise ManifestError(f"{key} is no list of whole numbers")
+            out[f.name] = tuple(obj[key])
+        elif not isinstance(obj[key], kinds[f.type]) or f.type == "int" and isinstance(obj[key], bool):
+            raise ManifestError(f"{key} is of another type than {f.type}")
+        else:
+            out[f.name] = obj[key]
+    return out
+
+
 @dataclass
 class Manifest:
     """What a plugin says of itself."""
@@ -52,6 +93,42 @@ class Manifest:
         return out
 
 
+    def to_json(self) -> str:
+        return json.dumps({FIELDS[k]: v for k, v in asdict(self).items()}, ensure_ascii=False)
+
+    @classmethod
+    def from_json(cls, text: str) -> Manifest:
+        """The manifest of a JSON object; what is missing without a default, or of another type, is named in the error."""
+        return cls(**parsed(text, cls))
+
+
+@dataclass
+class FeatureSchema:
+    """What a plugin's features hold: fields as (name, type, dimensions or null)."""
+
+    plugin_id: str
+    feature_type: str
+    version: int = 1
+    fields: tuple[tuple, ...] = ()
+
+    def to_json(self) -> str:
+        named = [{"name": n, "dataType": t} | ({"dims": list(d)} if d else {}) for n, t, d in self.fields]
+        return json.dumps({"pluginId": self.plugin_id, "featureType": self.feature_type, "modelVersion": self.version, "fields": named}, ensure_ascii=False)
+
+    @classmethod
+    def from_json(cls, text: str) -> FeatureSchema:
+        obj = parsed_object(text)
+        for key in ("pluginId", "featureType"):
+            if not isinstance(obj.get(key), str):
+                raise ManifestError(f"{key} is missing")
+        fields = []
+        for f in obj.get("fields", []):
+            if not isinstance(f.get("name"), str) or f.get("dataType") not in DATA_TYPES:
+                raise ManifestError(f"unknown field {f}")
+            fields.append((f["name"], f["dataType"], tuple(f["dims"]) if f.get("dims") else None))
+        return cls(obj["pluginId"], obj["featureType"], int(obj.get("modelVersion", 1)), tuple(fields))
+
+
 @dataclass
 class Provider:
     """A manifest, a loader that runs once in each worker, and a function of a batch of inputs."""

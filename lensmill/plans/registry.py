@@ -312,12 +312,12 @@ def latency_percentiles(spark, sf):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def missing_features(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left_anti")
+    return merge.missing(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")
 
 
 @query("SELECT doc_id FROM labels WHERE quality <> 1")
 def stale_rows(spark, sf):
-    return table(spark, sf, "labels").filter("quality <> 1").select("doc_id")
+    return merge.stale(table(spark, sf, "labels"), "quality", 1).select("doc_id")
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE n_chars IN (SELECT n_chars FROM documents GROUP BY n_chars HAVING count(*) > 1)")
@@ -385,7 +385,7 @@ def ignore_merge(spark, sf):
 @query("SELECT DISTINCT o_custkey AS \"key\" FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def path_intersection(spark, sf):
     wanted = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("key"))
-    return table(spark, sf, "orders").select(F.col("o_custkey").alias("key")).join(wanted, "key", "left_semi").distinct()
+    return merge.common_keys(table(spark, sf, "orders").select(F.col("o_custkey").alias("key")), wanted, "key")
 
 
 @query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus FROM orders GROUP BY o_custkey")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from lensmill.operators import merge
+from lensmill.operators import browse, merge
 from lensmill.sources.store import Store
 
 
@@ -50,6 +50,23 @@ def merge_into(stream: DataFrame, store: Store, table: str, *keys: str, time: st
     return (out.trigger(processingTime=f"{seconds} seconds") if seconds else out.trigger(availableNow=True)).start()
 
 
+def live_page(stream: DataFrame, store: Store, table: str, *keys: str, time: str, sort: list[tuple[Column, bool]], size: int, page: str, checkpoint: str) -> StreamingQuery:
+    """Keeps ``page``, the first rows of a table in an order, up to date: each batch of changes makes both anew at once.
+
+    sort: (key, descending) pairs, as browse.page() takes them, with a key that makes the order
+    total. Later pages are asked for by keyset from the table, as of any version.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        rest = [c for c in batch.columns if c not in (*keys, time)]
+        last = batch.groupBy(*keys).agg(F.max(F.struct(time, *rest)).alias("r_")).select(*keys, "r_.*").select(*batch.columns)
+        version = store.write(table, merge.replace(store.read(table), last, *keys) if store.exists(table) else last)
+        rows = batch.sparkSession.read.parquet(f"{store.root}/{table}/{version}")
+        store.publish(**{table: version, page: store.write(page, browse.page(rows, sort, size))})
+
+    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def once_per_file(stream: DataFrame, store: Store, stage: str, version: int, run: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
     """A stage over new files that skips what its state says is done, also after a restart."""
     schema = "filePath string, stageId string, status string, modelVersion int"

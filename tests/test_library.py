@@ -744,3 +744,28 @@ def test_a_scan_writes_the_media_table_once(spark, tmp_path):
     run.merge()
     got = {r["filePath"]: r["modifiedAtMs"] for r in store.read("media_items").collect()}
     assert got == {"/a": 3, "/0": 0, "/1": 1, "/2": 2, "/3": 3} and store.read("scan_staging").count() == 0
+
+
+def test_manifests_and_schemas_as_json():
+    m = plugins.Manifest("p1", "名", 2, plugins.FEATURE, stage="PRE", order=3, enabled=False, shape=(1, -1), options={"a": [1]})
+    assert plugins.Manifest.from_json(m.to_json()) == m and json.loads(m.to_json())["pluginId"] == "p1"
+    assert plugins.Manifest.from_json('{"pluginId": "p", "name": "n", "version": 1, "kind": "image", "more": 1}') == plugins.Manifest("p", "n", 1, "image")
+    for bad, said in (("{", "no JSON"), ("[]", "object"), ('{"name": "n"}', "pluginId is missing"), ('{"pluginId": 1, "name": "n", "version": 1, "kind": "image"}', "pluginId"), ('{"pluginId": "p", "name": "n", "version": 1, "kind": "image", "shape": ["x"]}', "shape")):
+        with pytest.raises(plugins.ManifestError, match=said):
+            plugins.Manifest.from_json(bad)
+    schema = plugins.FeatureSchema("p1", "faces", 4, (("box", "FLOAT_ARRAY", (4,)), ("label", "STRING", None)))
+    assert plugins.FeatureSchema.from_json(schema.to_json()) == schema
+    with pytest.raises(plugins.ManifestError):
+        plugins.FeatureSchema.from_json('{"pluginId": "p", "featureType": "f", "fields": [{"name": "x", "dataType": "ODD"}]}')
+
+
+def test_live_page(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    sort = [(F.col("at"), True), (F.col("p"), False)]
+    for i, rows in enumerate(([("/a", 1), ("/b", 2), ("/c", 3)], [("/a", 9), ("/d", 2), ("/a", 5)])):
+        spark.createDataFrame(rows, "p string, at long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = live.watch(spark, f"{tmp_path}/in", "p string, at long")
+        live.live_page(stream, store, "media", "p", time="at", sort=sort, size=3, page="first_page", checkpoint=f"{tmp_path}/c").awaitTermination()
+        want = [["/c", "/b", "/a"], ["/a", "/c", "/b"]][i]
+        assert [r["p"] for r in store.read("first_page").orderBy(F.col("at").desc(), "p").collect()] == want
+    assert store.read("media").count() == 4
