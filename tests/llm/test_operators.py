@@ -664,6 +664,62 @@ def test_style_tree_reaches_into_marked_articles(spark):
     assert got[300] == "Shared line"  # a marked article is not emptied
 
 
+def test_unmarked_pages_equal_a_plain_tree(spark):
+    """Pages without a mark and with misleading names: what the tree of a host says, worked out from nested lists."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    line = lambda shared: shared if rng.random() < 0.9 else word()
+
+    def page(host):
+        """A nested list: a node is (tag, class, children), a text a string."""
+        tell = {"big": 1.0, "mid": 0.5}.get(host, 0.0)
+        parts = [("div", "x1", [("p", "", ["Home"]), ("p", "", [line("Products")])]), ("div", "x2", [("p", "", [f"{word()} {word()}"]) for _ in range(rng.randrange(1, 4))])]
+        parts += [("div", "historyofads", [("p", "", [word()])]), ("div", "x3", [("p", "", ["Same line" if rng.random() < tell else word()])]), ("div", "x4", [("div", "x5", [("p", "", [rng.choice(["Left", "Right"])])]), ("p", "", [word()])])]
+        return ("body", "", parts)
+
+    def html(node):
+        return node if isinstance(node, str) else f"<{node[0]}{' class=' + node[1] if node[1] else ''}>{''.join(map(html, node[2]))}</{node[0]}>"
+
+    def walk(node, path):
+        path = (*path, (node[0], node[1]))
+        yield path, 0, tuple(c[:2] for i, c in enumerate(x for x in node[2] if not isinstance(x, str)) if not i or c[:2] != [x for x in node[2] if not isinstance(x, str)][i - 1][:2])
+        for child in node[2]:
+            if isinstance(child, str):
+                yield path, 1, child
+            else:
+                yield from walk(child, path)
+
+    made = [(host, page(host)) for host, n in (("big", 40), ("mid", 14), ("few", 3)) for _ in range(n)]
+    noisy = {}
+    for host in ("big", "mid", "few"):
+        facts = [{f for f in walk(p, ())} for h, p in made if h == host]
+        count = {}
+        for each in facts:
+            for f in each:
+                count[f] = count.get(f, 0) + 1
+        noisy[host] = set()
+        for path in {f[0] for f in count}:
+            own = [n for (p, kind, _), n in count.items() if p == path and kind == 0]
+            below = [n for (p, kind, _), n in count.items() if p[: len(path)] == path and kind == 1]
+            m = sum(own)
+            if not below:
+                continue
+            entropy = -sum(n / m * np.log(n / m) for n in own) / np.log(m) if m > 1 else 1.0
+            content = 1 - sum(map(np.log, below)) / len(below) / np.log(m) if m > 1 else 1.0
+            importance = 0.1 * entropy + 0.9 * max(content, 0.0)
+            if 1 - (1 - importance) * m / (m + 4) < 0.4:
+                noisy[host].add(path)
+    df = spark.createDataFrame([(i, f"http://{h}.org/{i}", html(p)) for i, (h, p) in enumerate(made)], "page_id long, url string, html string")
+    decided = 0
+    for r in html_text.extract(df).collect():
+        host, p = made[r["page_id"]]
+        texts = [(path, t) for path, kind, t in walk(p, ()) if kind == 1]
+        left = [t for path, t in texts if not any(path[:i] in noisy[host] for i in range(1, len(path) + 1))]
+        assert r["text"] == "\n".join(left), (host, r["page_id"])
+        decided += len(left) < len(texts)
+    assert decided >= 40 and not noisy["few"]
+
+
 def test_importance_equals_its_definition(spark):
     texts = ["a", "a", "a", "b", "c", "d", "d", "e"]
     df = spark.createDataFrame([(f"http://h/{i}", f"<body><div><p>{t}</p></div></body>") for i, t in enumerate(texts)], "url string, html string")
