@@ -6,7 +6,6 @@ time line, part a directory listing, documents searchable texts, embeddings imag
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -417,9 +416,8 @@ def _index(spark, sf):
     """The index of the documents' texts, which the first search of an application writes."""
     made, at = text_search.index(table(spark, sf, "documents"), "doc_id", "text"), (spark.sparkContext.applicationId, sf)
     if at not in _STORED:
-        path = f"{scratch.shared_dir(spark).rstrip('/')}/lensmill-index-{uuid.uuid4().hex}"
-        text_search.stored(made, path)
-        _STORED[at] = path
+        _STORED[at] = scratch.temporary(spark, "index")
+        text_search.stored(made, _STORED[at])
     return spark.read.schema(made.schema).parquet(_STORED[at])
 
 
@@ -879,7 +877,7 @@ def image_scenes(spark, sf):
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_live_counts(spark, sf):
-    root = f"{scratch.shared_dir(spark).rstrip('/')}/lensmill-live-{uuid.uuid4().hex}"
+    root = scratch.temporary(spark, "live")
     store, schema = Store(spark, root), table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     live.counts_into(stream.select("event_type"), "event_type", store, "counts", f"{root}/checkpoint").awaitTermination()

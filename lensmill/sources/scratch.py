@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -18,10 +19,24 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.gettempdir()
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what stands there goes when the program ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/lensmill-{name}-{uuid.uuid4().hex}"
+    atexit.register(_drop_quietly, spark, path)
+    return path
+
+
+def _drop_quietly(spark: SparkSession, path: str) -> None:
+    try:
+        drop(spark, path)
+    except Exception:  # noqa: BLE001  the session has ended: nothing is left to ask
+        pass
+
+
 def saved(df: DataFrame) -> tuple[DataFrame, str]:
     """df as a table, which cuts its lineage, and the table's path."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lensmill-{uuid.uuid4().hex}"
+    path = temporary(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
