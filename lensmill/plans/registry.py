@@ -416,8 +416,9 @@ def _index(spark, sf):
     """The index of the documents' texts, which the first search of an application writes."""
     made, at = text_search.index(table(spark, sf, "documents"), "doc_id", "text"), (spark.sparkContext.applicationId, sf)
     if at not in _STORED:
-        _STORED[at] = scratch.temporary(spark, "index")
-        text_search.stored(made, _STORED[at])
+        path = scratch.temporary(spark, "index")
+        text_search.stored(made, path)
+        _STORED[at] = path
     return spark.read.schema(made.schema).parquet(_STORED[at])
 
 
