@@ -121,6 +121,7 @@ def format_chats(
     get its contents.
     """
     spark = turns.sparkSession
+    common.small_batches(spark)
     described = spark.sparkContext.broadcast(Path(tokenizer).read_text())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"), F.col(turn_col).alias("turn"))

@@ -71,6 +71,15 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold 8 MB, where the session has Spark's default of 64 MB.
+
+    A task holds several batches at once, in the JVM and in each of its Python workers.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def crc_of(key: Column | str) -> Column:
     """crc32 of a key as text; a null key counts as empty text."""
     return F.crc32(F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit("")))

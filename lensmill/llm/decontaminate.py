@@ -205,6 +205,7 @@ def first_pass(docs: DataFrame, index: Items, text_col: str, keep: str | None):
     vocabulary. The documents (id and text) are kept only if ``keep`` names their id.
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     sent = spark.sparkContext.broadcast(index)
     columns = [F.col(text_col).alias("text"), *([F.col(keep).alias("doc")] if keep else [])]
     source = docs.select(*columns)

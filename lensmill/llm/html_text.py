@@ -286,6 +286,7 @@ def style_tree(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
     texts, together with the entropy of its own sequences of children. All are from 0 to 1; a
     branch of a single page has 1.
     """
+    common.small_batches(pages.sparkSession)
     schema = pa.schema([("host", pa.string()), ("path", pa.int64()), ("kind", pa.int32()), ("value", pa.int64()), ("branch", pa.list_(pa.int64()))])
 
     def told(it):

@@ -360,6 +360,7 @@ def jaccard_tables(docs: DataFrame, id_col: str, text_col: str, words: int, num:
     comp is null for classes without links, ``least`` the least id of the component.
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.col(text_col).cast("string")
     source = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("t"), text.alias("text"))

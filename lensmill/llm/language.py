@@ -116,6 +116,7 @@ def mixture(s: np.ndarray) -> tuple[list[int], np.ndarray]:
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> dict:
     """The model: languages (sorted) and log-probabilities of n-grams. Null texts and languages are passed over."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
     def counts(it):
@@ -162,6 +163,7 @@ def identify(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFra
     map of the languages found. Whole texts are read. Equal texts get equal results. New columns
     replace columns of docs that have their names; the others stay. Empty in, empty out.
     """
+    common.small_batches(docs.sparkSession)
     docs = docs.drop(*[c for c in ("lang_pred", "score", "proportions") if c != text_col])
     langs, sent = model["langs"], model["logp"]
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("proportions", MapType(StringType(), DoubleType()))])

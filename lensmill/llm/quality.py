@@ -140,6 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     without end. Every training row counts for the ratios.
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     counted = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -210,6 +211,7 @@ def score_quality(docs: DataFrame, model: dict | None, *, text_col: str = "text"
     if model is None or "constant" in model:
         return docs.withColumn(score_col, F.lit(0.5 if model is None else model["constant"]))
     spark = docs.sparkSession
+    common.small_batches(spark)
     weights = spark.sparkContext.broadcast((model["w"][:WIDTH], float(model["w"][WIDTH])))
     ratio, a, b = model["r"], model["a"], model["b"]
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
+from lensmill.llm import common
+
 #: Fixed values of the format: bytes of each field type, and tag numbers.
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
 LETTERS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
@@ -382,6 +384,7 @@ def read_pages(files: DataFrame, *, media_col: str = "media", most_bytes: int =
     files that have the names of new ones are replaced. Repeated rows are read each. Empty in,
     empty out.
     """
+    common.small_batches(files.sparkSession)
     names = {f.name for f in PAGE_FIELDS} - {media_col}
     files = files.drop(*names)
     fields = [f for f in PAGE_FIELDS if f.name in names]
@@ -494,6 +497,7 @@ def payload_image(text: str | None) -> tuple[int, bytes]:
 
 def payload_files(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """docs without text_col, with n_bytes and media: each whole text as an image. Null counts as empty."""
+    common.small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (text_col, "n_bytes", "media")]
     fields = [*(docs.schema[c] for c in kept), StructField("n_bytes", LongType()), StructField("media", BinaryType())]
 
