@@ -102,12 +102,12 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     cut = cut.select("of_", F.col("cell_").alias("in_"), "before_", "rest_")
     near = hashed.select(F.col(source_col).alias("src_"), F.col(text_col).alias("text_"), F.col(own).alias("hash_"), cell.alias("cell_"), F.col(total).alias("sum_"))
     near = near.join(common.small(cut, known), F.col("src_").eqNullSafe(F.col("of_")) & (F.col("cell_") == F.col("in_")))
-    near = near.select("src_", "hash_", "before_", "rest_", word_count(F.col("text_")).alias("size_"), "sum_").filter("size_ > 0")
+    near = near.select("src_", "hash_", "before_", "rest_", word_count(F.col("text_")).alias("size_"), "sum_")
     near = near.groupBy("src_", "hash_", "size_", "sum_", "before_", "rest_").agg(F.count("*").alias("rows_"))  # equal rows together
     inside = Window.partitionBy("src_").orderBy("hash_", "size_", "sum_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("before_") + F.sum(F.col("size_") * F.col("rows_")).over(inside)
     # A row that straddles the target is taken when more than half of it lies below.
-    fits = F.floor((F.col("rest_") - F.col("upto_")) / F.col("size_") + F.col("rows_") + 0.5)
+    fits = F.when(F.col("size_") > 0, F.floor((F.col("rest_") - F.col("upto_")) / F.col("size_") + F.col("rows_") + 0.5))
     near = near.withColumn("upto_", upto).withColumn("fits_", F.greatest(fits, F.lit(0)))
     key = F.struct("hash_", "size_", "sum_")
     last = near.groupBy("src_").agg(
