@@ -12,6 +12,11 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """To so many digits, half away from zero by the binary value, as SQL engines round; round() goes by the decimal text."""
+    return F.round(c * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return EARTH_KM * 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))

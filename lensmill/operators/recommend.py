@@ -39,7 +39,7 @@ def score(kind: str, now: Column, **parts: Column) -> Column:
 
 
 def albums(df: DataFrame, album: str, time: str, quality: Column, favourite: Column, now: Column, large: int = 500, large_days: int = 60) -> DataFrame:
-    """One recommendation for each album that is not large, and whether it is large."""
+    """One recommendation for each album, and whether it is large."""
     m = rollup.group_metrics(df, album, time, quality, favourite)
     density = F.when(F.col("n") == 1, 1.0).otherwise(F.col("n") / F.col("span_days"))
     s = score("WHOLE_ALBUM", now, density=density, last_at=F.col("last_at"), quality=F.col("quality"), weekends=F.col("weekends"), favourites=F.col("favourites"))
@@ -63,7 +63,7 @@ def events(df: DataFrame, group: str | None, time: str, key: str, quality: Colum
     """Events across directories with their scores; sessions of fewer than three rows are none."""
     rows = sessions.sessions(df, group, time, key, **options)
     m = rows.groupBy(*([group] if group else []), "session").agg(
-        F.count("*").alias("n"), F.min(time).alias("first_at"), F.max(time).alias("last_at"), F.avg(quality).alias("quality"), F.avg(favourite.cast("double")).alias("favourites"), F.avg(F.dayofweek(time).isin(1, 7).cast("double")).alias("weekends")
+        F.count("*").alias("n"), F.min(time).alias("first_at"), F.max(time).alias("last_at"), F.avg(quality).alias("quality"), rollup.share(favourite).alias("favourites"), rollup.share(F.dayofweek(time).isin(1, 7)).alias("weekends")
     )
     m = m.filter("n >= 3").withColumn("density", F.col("n") / F.greatest(F.lit(1), dates.whole_hours(F.col("first_at"), F.col("last_at"))))
     parts = {c: F.col(c) for c in ("density", "last_at", "quality", "weekends", "favourites", "n")}
@@ -82,7 +82,7 @@ def top_per_group(df: DataFrame, group: str, order: list[Column], most: int = 20
 def scenes(df: DataFrame, scene: str, time: str, key: str, quality: str, favourite: Column, now: Column, most: int = 20, least: int = 5) -> DataFrame:
     """One theme for each scene with at least five rows, over its best twenty."""
     top = top_per_group(df.filter(F.col(scene).isNotNull()), scene, [F.col(quality).desc(), F.col(time).desc(), F.col(key)], most, least)
-    m = top.groupBy(scene).agg(F.count("*").alias("n"), F.min(time).alias("first_at"), F.max(time).alias("last_at"), F.avg(F.col(quality).cast("double")).alias("quality"), F.avg(favourite.cast("double")).alias("favourites"))
+    m = top.groupBy(scene).agg(F.count("*").alias("n"), F.min(time).alias("first_at"), F.max(time).alias("last_at"), F.avg(F.col(quality).cast("double")).alias("quality"), rollup.share(favourite).alias("favourites"))
     return m.withColumn("score", score("SCENE_THEME", now, last_at=F.col("last_at"), quality=F.col("quality"), favourites=F.col("favourites"), n=F.col("n")))
 
 
@@ -98,7 +98,7 @@ def clusters(members: DataFrame, cluster: str, distance: str, time: str, key: st
     """
     close = members.groupBy(cluster).agg(cohesion(F.col(distance)).alias("cohesion"))
     top = top_per_group(members, cluster, [F.col(quality).desc(), F.col(time).desc(), F.col(key)], most, least)
-    m = top.groupBy(cluster).agg(F.count("*").alias("n"), F.min(time).alias("first_at"), F.max(time).alias("last_at"), F.avg(F.col(quality).cast("double")).alias("quality"), F.avg(favourite.cast("double")).alias("favourites"))
+    m = top.groupBy(cluster).agg(F.count("*").alias("n"), F.min(time).alias("first_at"), F.max(time).alias("last_at"), F.avg(F.col(quality).cast("double")).alias("quality"), rollup.share(favourite).alias("favourites"))
     m = m.join(close, cluster)
     return m.withColumn("score", score("SEMANTIC_CLUSTER", now, last_at=F.col("last_at"), quality=F.col("quality"), n=F.col("n"), cohesion=F.col("cohesion")))
 

@@ -136,6 +136,11 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     return parts.select(group, F.transform("v_", lambda x: x["m_"]).alias("centroid"))
 
 
+def share(condition: Column) -> Column:
+    """The share of rows for which a condition holds (an aggregate); one that is null does not hold."""
+    return F.avg(F.coalesce(condition, F.lit(False)).cast("double"))
+
+
 def group_metrics(df: DataFrame, group: str, time: str, quality: Column, favourite: Column) -> DataFrame:
     """Per group: rows, first and last time, whole days between (1 at least), mean quality, shares of favourites and weekends."""
     return df.groupBy(group).agg(
@@ -143,6 +148,6 @@ def group_metrics(df: DataFrame, group: str, time: str, quality: Column, favouri
         F.min(time).alias("first_at"),
         F.max(time).alias("last_at"),
         F.avg(quality).alias("quality"),
-        F.avg(favourite.cast("double")).alias("favourites"),
-        F.avg(F.dayofweek(time).isin(1, 7).cast("double")).alias("weekends"),
+        share(favourite).alias("favourites"),
+        share(F.dayofweek(time).isin(1, 7)).alias("weekends"),
     ).withColumn("span_days", F.greatest(F.lit(1), F.floor((F.unix_micros(F.col("last_at").cast("timestamp")) - F.unix_micros(F.col("first_at").cast("timestamp"))) / 86_400_000_000)))

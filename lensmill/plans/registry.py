@@ -737,10 +737,11 @@ ALBUM_SQL = f"""SELECT '{{0}}' AS category, user_id::VARCHAR AS id, count(*) AS
 )
 def all_recommendations(spark, sf):
     now, rows = F.lit("2024-03-01 00:00:00").cast("timestamp_ntz"), table(spark, sf, "events").withColumn("quality_", F.col("value") / 100.0)
-    whole = recommend.albums(rows, "user_id", "ts", F.col("quality_"), F.col("event_type") == "purchase", now).filter("not is_large")
+    whole = recommend.albums(rows, "user_id", "ts", F.col("quality_"), F.col("event_type") == "purchase", now)
     themes = recommend.scenes(rows, "event_type", "ts", "event_id", "quality_", F.col("user_id") % 2 == 0, now)
+    whole, themes = (x.withColumn("score", maths.rounded(F.col("score"), 6)) for x in (whole, themes))  # the bonus is added to the rounded score
     out = recommend.ranked({"WHOLE_ALBUM": (whole, F.col("user_id")), "SCENE_THEME": (themes, F.col("event_type"))}, recommend.QUALITY)
-    return out.select("category", "id", "n", F.round("rank_score", 5).alias("rank_score"))
+    return out.select("category", "id", "n", maths.rounded(F.col("rank_score"), 5).alias("rank_score"))
 
 
 @query(

@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -169,3 +170,20 @@ def test_concepts_query(spark):
     assert got.keys() == names.keys()
     for k, name in names.items():
         np.testing.assert_allclose([float(x) for x in got[k].split(",")], features.text_vector(name), atol=1e-5)
+
+
+def test_all_recommendations_on_large_albums_and_nulls(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    users = np.concatenate([rng.integers(0, 400, 6000), np.full(700, 1000)])  # the last album is large: 700 rows over months
+    start = datetime.datetime(2023, 10, 1)
+    rows = [
+        {"event_id": i, "ts": start + datetime.timedelta(seconds=int(rng.integers(0, 150 * 86400))), "user_id": int(u), "event_type": [None, "purchase", "view", "error"][i % 4], "value": round(float(rng.uniform(0, 100)), 2), "props": "{}"}
+        for i, u in enumerate(users)
+    ]
+    pq.write_table(pa.Table.from_pylist(rows, pa.schema([("event_id", "int64"), ("ts", pa.timestamp("us")), ("user_id", "int64"), ("event_type", "string"), ("value", "double"), ("props", "string")])), tmp_path / "events.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    want = c.execute(registry.ORACLES["all_recommendations"])
+    columns = [x[0] for x in want.description]
+    df = registry.QUERIES["all_recommendations"](spark, str(tmp_path))
+    assert canon(df.collect(), df.columns) == canon(want.fetchall(), columns)
